@@ -50,8 +50,8 @@ def _owners(first: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return np.searchsorted(first, positions, side="right") - 1
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    data, offsets = ws.byte_view(batch.column("text"))
+def _texts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    data, offsets = ws.byte_view(batch.column(text))
     for lo, hi in ws.slices(offsets):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = ws.word_bounds(part, at)
@@ -60,9 +60,6 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 # --- seeds ----------------------------------------------------------------------------------------------------------
 
-_SEEDS = pa.schema([("bucket", pa.int32()), ("row_key", pa.int64()), ("blob", pa.binary())])
-
-
 def _seed_map(bits: int, seed_words: int, span: int):
     shift, low = np.uint64(32 - bits), np.uint64(32)
 
@@ -72,29 +69,23 @@ def _seed_map(bits: int, seed_words: int, span: int):
         at = ws.runs(hashes)
         least, most = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
         shared = least != most
-        rows: list[tuple[int, int | None, bytes]] = []
         # what is shared within the task is answered here
         here = np.repeat(shared, np.diff(np.append(at, len(hashes))))
-        own, found = docs[here], hashes[here]
-        by_doc = np.argsort(own, kind="stable")
-        own, found = own[by_doc], found[by_doc]
-        cuts = ws.runs(own)
-        for a, b in ws.ranges(cuts, len(own)):
-            rows.append((int(own[a]) & ((1 << bits) - 1), int(keys[own[a]]), ws.pack(np.unique(found[a:b]))))
+        rows = ws.answers(bits, keys[docs[here]], hashes[here])
         sent = hashes[at]
         buckets = (sent >> low).astype(np.int64)
         edges = np.searchsorted(buckets, np.arange((1 << bits) + 1))
         for bucket in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[bucket], edges[bucket + 1]
             names, index = np.unique(least[a:b], return_inverse=True)
-            rows.append((bucket, None, ws.pack(sent[a:b].astype(np.uint32), index.astype(np.uint32 if len(names) > 65535 else np.uint16), keys[names], np.packbits(shared[a:b]))))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], schema=_SEEDS)
+            rows.append((bucket, False, ws.pack(sent[a:b].astype(np.uint32), index.astype(np.uint32 if len(names) > 65535 else np.uint16), keys[names], np.packbits(shared[a:b]))))
+        yield ws.dealt(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, keys, size, known = [], [], [], 0, 0
         for batch in batches:
             row_keys = batch.column("row_key").to_numpy(zero_copy_only=False)
-            for lo, hi, part, _, starts, ends, first in _texts(batch):
+            for lo, hi, part, _, starts, ends, first in _texts(batch, "text"):
                 best, whole = _anchors(ws.word_hashes(part, starts, ends), first, seed_words, span)
                 at = np.flatnonzero(whole)
                 kept = best[at] >> shift
@@ -115,35 +106,11 @@ def _seed_map(bits: int, seed_words: int, span: int):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], through) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
-    """Unpacked blobs of each bucket; ``through`` gets the rows that only pass. Rows come sorted by bucket."""
-    now, held = None, []
-    for batch in batches:
-        answered = np.asarray(batch.column("row_key").is_valid())
-        if answered.any():
-            through.append(batch.filter(pa.array(answered)))
-        for bucket, blob in zip(batch.column("bucket").to_numpy()[~answered].tolist(), batch.column("blob").filter(pa.array(~answered)), strict=True):
-            if bucket != now and held:
-                yield now, held
-                held = []
-            now = bucket
-            held.append(ws.unpack(blob.as_buffer().to_pybytes()))
-        if answered.any() and not held:
-            yield -1, []
-    yield (now, held) if held else (-1, [])
-
-
-_SEED_ANSWER = pa.schema([("row_key", pa.int64()), ("blob", pa.binary())])
-
-
 def _seed_reduce(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        through: list[pa.RecordBatch] = []
-        for bucket, blobs in _buckets(batches, through):
-            for batch in through:
-                yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("blob")], schema=_SEED_ANSWER)
-            through.clear()
-            if not blobs:
+        for bucket, blobs in ws.buckets(batches):
+            if bucket is None:
+                yield blobs
                 continue
             low = np.concatenate([b[0] for b in blobs])
             keys = np.concatenate([b[2][b[1]] for b in blobs])
@@ -153,33 +120,14 @@ def _seed_reduce(bits: int):
             at = ws.runs(low)
             shared = (np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)) | np.logical_or.reduceat(flagged, at)
             here = np.repeat(shared, np.diff(np.append(at, len(low))))
-            keys, found = keys[here], low[here].astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))
-            order = np.argsort(keys, kind="stable")
-            keys, found = keys[order], found[order]
-            cuts = ws.runs(keys)
-            if len(cuts):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cuts]), pa.array([ws.pack(found[a:b]) for a, b in ws.ranges(cuts, len(keys))], pa.binary())], schema=_SEED_ANSWER)
+            yield ws.dealt(ws.answers(bits, keys[here], low[here].astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))))
 
     return run
 
 
 # --- extension ------------------------------------------------------------------------------------------------------
 
-_RUNS = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("row_key", pa.int64()), ("blob", pa.binary())])
-_RUN_ANSWER = pa.schema([("id", pa.int64()), ("row_key", pa.int64()), ("blob", pa.binary())])
-
-
-def _by_row(ids: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    order = np.lexsort((keys, ids))
-    ids, keys, positions = ids[order], keys[order], positions[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
-    cuts = np.flatnonzero(new)
-    for a, b in ws.ranges(cuts, len(ids)):
-        yield int(ids[a]), int(keys[a]), ws.pack(positions[a:b])
-
-
-def _extend_map(bits: int, seed_words: int, span: int):
+def _extend_map(bits: int, seed_words: int, span: int, id_col: str, text_col: str):
     shift, low = np.uint64(32 - bits), np.uint64(64 - bits)
     spread = 0x9E3779B97F4A7C15
 
@@ -192,26 +140,28 @@ def _extend_map(bits: int, seed_words: int, span: int):
         held_by = ids[docs]
         least = np.repeat(np.minimum.reduceat(held_by, at), np.diff(np.append(at, len(hashes))))
         repeated = held_by > least
-        rows = [(int(i) & ((1 << bits) - 1), i, k, blob) for i, k, blob in _by_row(held_by[repeated], keys[docs[repeated]], positions[repeated])]
+        rows = ws.answers(bits, keys[docs[repeated]], held_by[repeated], positions[repeated])
         hashes, buckets, docs, positions = hashes[~repeated], buckets[~repeated], docs[~repeated], positions[~repeated]
         edges = np.searchsorted(buckets, np.arange((1 << bits) + 1))
         for bucket in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[bucket], edges[bucket + 1]
             names, index = np.unique(docs[a:b], return_inverse=True)
-            rows.append((bucket, None, None, ws.pack(hashes[a:b], index.astype(np.uint32 if len(names) > 65535 else np.uint16), ids[names], keys[names], positions[a:b])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], _RUNS.field(c).type) for c in range(4)], schema=_RUNS)
+            rows.append((bucket, False, ws.pack(hashes[a:b], index.astype(np.uint32 if len(names) > 65535 else np.uint16), ids[names], keys[names], positions[a:b])))
+        yield ws.dealt(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, known = [], 0, 0
         for batch in batches:
-            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row_key"))
-            seeds = batch.column("seeds")
-            for lo, hi, part, _, starts, ends, first in _texts(batch):
+            usable = np.asarray(batch.column(id_col).is_valid()) & np.asarray(batch.column(text_col).is_valid())
+            batch = batch.filter(pa.array(usable))
+            ids, keys = batch.column(id_col).cast(pa.int64()).to_numpy(), batch.column("_row_key").to_numpy()
+            seeds = batch.column("_seeds")
+            for lo, hi, part, _, starts, ends, first in _texts(batch, text_col):
                 words = ws.word_hashes(part, starts, ends)
                 best, whole = _anchors(words, first, seed_words, span)
                 at = np.flatnonzero(whole)
                 owner = _owners(first, at)
-                wanted = [np.concatenate([ws.unpack(blob)[0] for blob in seeds[i].as_py()]) + np.uint64((i - lo) * spread & (1 << 64) - 1) for i in range(lo, hi)]
+                wanted = [np.frombuffer(seeds[i].as_buffer(), np.uint64) + np.uint64((i - lo) * spread & (1 << 64) - 1) for i in range(lo, hi)]
                 at = at[np.isin((best[at] >> shift) + owner.astype(np.uint64) * np.uint64(spread), np.concatenate(wanted))]
                 owner = _owners(first, at)
                 deal = (ws.gram_hashes(words, span, 1)[at] >> low).astype(np.int32)
@@ -227,25 +177,23 @@ def _extend_map(bits: int, seed_words: int, span: int):
     return run
 
 
-def _extend_reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    through: list[pa.RecordBatch] = []
-    for _, blobs in _buckets(batches, through):
-        for batch in through:
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "row_key", "blob")], schema=_RUN_ANSWER)
-        through.clear()
-        if not blobs:
-            continue
-        hashes = np.concatenate([b[0] for b in blobs])
-        ids = np.concatenate([b[2][b[1]] for b in blobs])
-        keys = np.concatenate([b[3][b[1]] for b in blobs])
-        positions = np.concatenate([b[4] for b in blobs])
-        order = np.argsort(hashes, kind="stable")
-        hashes, ids, keys, positions = hashes[order], ids[order], keys[order], positions[order]
-        at = ws.runs(hashes)
-        repeated = ids > np.repeat(np.minimum.reduceat(ids, at), np.diff(np.append(at, len(hashes))))
-        rows = list(_by_row(ids[repeated], keys[repeated], positions[repeated]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], _RUN_ANSWER.field(c).type) for c in range(3)], schema=_RUN_ANSWER)
+def _extend_reduce(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in ws.buckets(batches):
+            if bucket is None:
+                yield blobs
+                continue
+            hashes = np.concatenate([b[0] for b in blobs])
+            ids = np.concatenate([b[2][b[1]] for b in blobs])
+            keys = np.concatenate([b[3][b[1]] for b in blobs])
+            positions = np.concatenate([b[4] for b in blobs])
+            order = np.argsort(hashes, kind="stable")
+            hashes, ids, keys, positions = hashes[order], ids[order], keys[order], positions[order]
+            at = ws.runs(hashes)
+            repeated = ids > np.repeat(np.minimum.reduceat(ids, at), np.diff(np.append(at, len(hashes))))
+            yield ws.dealt(ws.answers(bits, keys[repeated], ids[repeated], positions[repeated]))
+
+    return run
 
 
 # --- cut ------------------------------------------------------------------------------------------------------------
@@ -262,11 +210,10 @@ def _cut_map(span: int, schema: pa.Schema, text: str):
                 edge = np.zeros(len(starts) + 1, np.int32)
                 repeats: list[list[dict]] = []
                 for i in range(lo, hi):
-                    blobs = found[i].as_py()
-                    if not blobs:
+                    if not found[i].is_valid:
                         repeats.append([])
                         continue
-                    where = np.unique(np.concatenate([ws.unpack(b)[0] for b in blobs])).astype(np.int64)
+                    where = np.unique(np.frombuffer(found[i].as_buffer(), np.uint32)).astype(np.int64)
                     new = np.ones(len(where), bool)
                     new[1:] = np.diff(where) > span
                     a = where[new]
@@ -310,29 +257,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
     taking_part = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
 
-    dealt = (
-        keyed.where(taking_part).select(F.col("_row_key").alias("row_key"), F.col(text_col).alias("text"))
-        .mapInArrow(_seed_map(bits, seed_words, span), "bucket int, row_key long, blob binary")
-    )
-    seeds = (
-        dealt.repartition(width, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_seed_reduce(bits), "row_key long, blob binary")
-        .groupBy("row_key").agg(F.collect_list("blob").alias("seeds"))
-    )
+    def answered(asked: DataFrame, reduce, names: list[str], blob: str) -> DataFrame:
+        met = asked.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, ws.DEALT_TYPE)
+        home = met.repartition(width, "bucket").sortWithinPartitions("bucket")
+        kinds = ", ".join(f"{n} long" for n in names)
+        return home.mapInArrow(ws.gather(*names), f"{kinds}, blob binary").withColumnRenamed("blob", blob)
 
+    asked = keyed.where(taking_part).select(F.col("_row_key").alias("row_key"), F.col(text_col).alias("text")).mapInArrow(_seed_map(bits, seed_words, span), ws.DEALT_TYPE)
+    seeds = answered(asked, _seed_reduce(bits), ["_row_key"], "_seeds")
+
+    # the texts move once: both joins read this exchange, so neither may prune its columns
     placed = keyed.repartition(width, "_row_key")
-    extended = (
-        placed.where(taking_part).select(F.col(id_col).cast("long").alias("id"), F.col("_row_key").alias("row_key"), F.col(text_col).alias("text"))
-        .join(seeds, "row_key")
-        .mapInArrow(_extend_map(bits, seed_words, span), "bucket int, id long, row_key long, blob binary")
-    )
-    found = (
-        extended.repartition(width, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_extend_reduce, "id long, row_key long, blob binary")
-        .groupBy(F.col("row_key").alias("_row_key"), F.col("id").alias("_id")).agg(F.collect_list("blob").alias("_found"))
-    )
-
-    joined = placed.join(found, (placed["_row_key"] == found["_row_key"]) & (placed[id_col].cast("long") == found["_id"]), "left").drop(found["_row_key"]).drop("_id")
+    asked = placed.join(seeds, "_row_key").mapInArrow(_extend_map(bits, seed_words, span, id_col, text_col), ws.DEALT_TYPE)
+    found = answered(asked, _extend_reduce(bits), ["_row_key", "_id"], "_found")
+
+    # only the row key is a join key, as above; the id beside it guards against equal hashes
+    joined = placed.join(found, (placed["_row_key"] == found["_row_key"]) & (placed[id_col].cast("long") - found["_id"] == 0), "left").drop(found["_row_key"]).drop("_id")
     out = T.StructType([*[f for f in docs.schema.fields], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     from pyspark.sql.pandas.types import to_arrow_schema
 

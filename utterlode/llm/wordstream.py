@@ -190,3 +190,69 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
 def ranges(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     """The [start, end) of each run, given the starts and the length of it all."""
     return zip(starts.tolist(), [*starts[1:].tolist(), n][: len(starts)], strict=True)
+
+
+# --- questions to hash buckets, answers to rows ---------------------------------------------------------------------
+# Tasks send packed arrays to hash buckets, buckets send packed arrays back to groups of rows, and a group's answers are
+# brought together by row. Both hops carry one table row per task or bucket and target, however many entries it holds.
+
+DEALT = pa.schema([("bucket", pa.int32()), ("answer", pa.bool_()), ("blob", pa.binary())])
+DEALT_TYPE = "bucket int, answer boolean, blob binary"
+
+
+def dealt(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], DEALT.field(c).type) for c in range(3)], schema=DEALT)
+
+
+def answers(bits: int, key: np.ndarray, *others: np.ndarray) -> list[tuple[int, bool, bytes]]:
+    """Entries for rows, grouped by the low bits of the row's key."""
+    group = key & ((1 << bits) - 1)
+    order = np.argsort(group, kind="stable")
+    group, key, others = group[order], key[order], [x[order] for x in others]
+    cuts = runs(group)
+    return [(int(group[a]), True, pack(key[a:b], *(x[a:b] for x in others))) for a, b in ranges(cuts, len(group))]
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[list[np.ndarray]] | pa.RecordBatch]]:
+    """Unpacked questions of each bucket; rows that are answers already come out as batches under None. Rows come sorted."""
+    now, held = None, []
+    for batch in batches:
+        done = batch.column("answer").to_numpy(zero_copy_only=False)
+        if done.any():
+            yield None, batch.filter(pa.array(done))
+        for bucket, blob in zip(batch.column("bucket").to_numpy()[~done].tolist(), batch.column("blob").filter(pa.array(~done)), strict=True):
+            if bucket != now and held:
+                yield now, held
+                held = []
+            now = bucket
+            held.append(unpack(blob.as_buffer().to_pybytes()))
+    if held:
+        yield now, held
+
+
+def gather(*names: str):
+    """Brings the answers of each row together: the columns that name it, and its entries packed as ``blob``."""
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("blob", pa.binary())])
+
+    def by_row(blobs: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*blobs, strict=True)]
+        order = np.lexsort(columns[: len(names)])
+        columns = [c[order] for c in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[: len(names)]])
+        cuts = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([*(pa.array(c[cuts]) for c in columns[: len(names)]), pa.array([columns[-1][a:b].tobytes() for a, b in ranges(cuts, len(order))], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for group, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+                if group != now and held:
+                    yield by_row(held)
+                    held = []
+                now = group
+                held.append(unpack(blob.as_buffer().to_pybytes()))
+        if held:
+            yield by_row(held)
+
+    return run
