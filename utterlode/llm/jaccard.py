@@ -85,7 +85,6 @@ def _sign(k: int):
 
 def _deal(k: int, bits: int):
     """Each slice's shingles, dealt to buckets: low hash bits, index of the class, classes."""
-    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
     kept = min(HASH_BITS, bits + 40)
     drop, rest = np.uint64(HASH_BITS - kept), np.uint64(OWNER_BITS)
 
@@ -105,15 +104,14 @@ def _deal(k: int, bits: int):
                     if a < b:
                         low = (keys[a:b] >> rest) & _LOW
                         names, index = np.unique((keys[a:b] & np.uint64((1 << OWNER_BITS) - 1)).astype(np.int64), return_inverse=True)
-                        out.append((bucket, ws.pack(low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), index.astype(np.uint16), sigs[names])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], schema=schema)
+                        out.append((bucket, False, ws.pack(low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), index.astype(np.uint16), sigs[names])))
+                yield ws.dealt(out)
 
     return run
 
 
 def _count(bits: int):
     """In a bucket: how many classes hold each shingle; back to each class go those that another one holds too."""
-    schema = pa.schema([("sig", pa.int64()), ("blob", pa.binary())])
     kept = min(HASH_BITS, bits + 40)
     width = np.uint64(kept - bits)
 
@@ -137,22 +135,11 @@ def _count(bits: int):
         # rare first: by count, then by hash
         name = (np.uint64(bucket) << width) | (low & ((np.uint64(1) << width) - np.uint64(1)))
         keys = (np.minimum(df, 4095).astype(np.uint64) << np.uint64(HASH_BITS)) | name
-        order = np.argsort(sigs, kind="stable")
-        sigs, keys = sigs[order], keys[order]
-        cuts = ws.runs(sigs)
-        return pa.RecordBatch.from_arrays([pa.array(sigs[cuts]), pa.array([keys[a:b].tobytes() for a, b in ws.ranges(cuts, len(sigs))], pa.binary())], schema=schema)
+        return ws.dealt(ws.answers(bits, sigs, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
-                if bucket != now and held:
-                    yield answer(now, held)
-                    held = []
-                now = bucket
-                held.append(ws.unpack(blob.as_buffer().to_pybytes()))
-        if held:
-            yield answer(now, held)
+        for bucket, blobs in ws.buckets(batches):
+            yield answer(bucket, blobs)
 
     return run
 
@@ -163,11 +150,11 @@ def _prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for node, n, blobs in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("blobs").to_pylist(), strict=True):
-                shared = sum(map(len, blobs)) // 8
+            for node, n, blob in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                shared = len(blob) // 8
                 prefix = shared - (percent * n + 99) // 100 + 1
                 if prefix > 0:
-                    out.append((node, n, np.sort(np.frombuffer(b"".join(blobs), np.uint64)).tobytes(), prefix))
+                    out.append((node, n, np.sort(np.frombuffer(blob, np.uint64)).tobytes(), prefix))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], schema.field(c).type) for c in range(4)], schema=schema)
 
     return run
@@ -260,13 +247,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = saved(texts.mapInArrow(_sign(k), "doc_id long, n_shingles long, sig long"), "signed")
     classes = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")).where("node is not null")
 
-    counted = (
-        texts.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_deal(k, bits), "bucket int, blob binary")
-        .repartition(width, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_count(bits), "sig long, blob binary")
-        .groupBy("sig").agg(F.collect_list("blob").alias("blobs"))
+    met = (
+        texts.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_deal(k, bits), ws.DEALT_TYPE)
+        .repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(bits), ws.DEALT_TYPE)
     )
-    vectors = saved(counted.join(classes, "sig").select("node", "n", "blobs").mapInArrow(_prefixes(percent), "node long, n long, shared binary, prefix long"), "vectors")
+    counted = met.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(ws.gather("sig"), "sig long, blob binary")
+    vectors = saved(counted.join(classes, "sig").select("node", "n", "blob").mapInArrow(_prefixes(percent), "node long, n long, shared binary, prefix long"), "vectors")
     postings = saved(vectors.mapInArrow(_postings, "shingle long, node long, n long, place long"), "postings")
 
     def verified(pairs: DataFrame) -> DataFrame:
