@@ -10,8 +10,9 @@ A document is the set of its distinct ``k``-word shingles (with fewer words: its
    sent back.
 3. *Prefixes.* Of ``n`` shingles in rare-first order, the first ``n - ceil(t n) + 1`` make the prefix; lone shingles use
    it up first, and a class without a prefix left cannot be similar to any other.
-4. *Candidates.* Classes meet on prefix shingles and pass the length and positional filters. First each class meets the
-   smallest class of each of its posting lists (as many pairs as postings at most); pairs inside one component need no
+4. *Candidates.* Classes meet on prefix shingles and pass the length and positional filters. First each class meets, in
+   each of its posting lists, the class that has the fewest shingles rarer than this one, which is the most central: a
+   copy's own edits are rare shingles, its original has none (as many pairs as postings at most). Pairs inside one component need no
    further look, and then all pairs of a posting list that lie in different components are formed. So components are
    exact, and a big group of near copies gives no square of pairs.
 5. *Verification*, once per pair: the suffix filter, then the intersection over all shared shingles.
@@ -260,7 +261,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         right = vectors.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("y"))
         return saved(pairs.distinct().join(left, "a").join(right, "b").mapInArrow(_verify(percent), "src long, dst long"), "edges")
 
-    leaders = postings.groupBy("shingle").agg(F.min(F.struct("n", "node", "place")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    leaders = postings.groupBy("shingle").agg(F.min(F.struct("place", "n", "node")).alias("first"), F.count("*").alias("size")).where("size > 1")
     met = postings.join(leaders, "shingle").where("node <> first.node").where(_filters(percent, "n", "first.n", "place", "first.place"))
     near = verified(met.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")))
     labels = connected_components(near)
