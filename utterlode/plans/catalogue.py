@@ -1,11 +1,316 @@
-"""The registered queries."""
+"""The registered queries, and the SQL that each must equal."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed as x
+from ..functions import text as t
+from ..operators import clusters, extract, grade, neardup
+from ..operators.components import connected_components
+from . import adapters
+from .durable import saved
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _SQL
+
+
+def _dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.frame(spark, sf_dir, "dialog")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.frame(spark, sf_dir, "parts")
+
+
+_D, _P = adapters.sql("dialog"), adapters.sql("parts")
+_KEY = r"regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')"
+
+
+def _masked(c: str, path: str, number: str) -> str:
+    masked = rf"regexp_replace(regexp_replace({c}, '[^\s]*/[^\s]*', '{path}', 'g'), '[0-9]+([.:-][0-9]+)*', '{number}', 'g')"
+    return f"case when regexp_matches(replace(replace({masked}, '{number}', ''), '{path}', ''), '[\\p{{L}}\\p{{N}}]') then {masked} else {c} end"
+
+
+def _clipped(c: str, n: int) -> str:
+    line = rf"regexp_replace(trim({c}, ' ' || chr(9) || chr(10) || chr(13)), '\s+', ' ', 'g')"
+    return f"case when length({line}) <= {n} then {line} else substr({line}, 1, {n - 1}) || '…' end"
+
+
+_KEYED = f"keyed as (select *, {_KEY} as norm_key from ({_D}) d), matched as (select *, {_masked('norm_key', x.PATH_TOKEN, x.NUMBER_TOKEN)} as match_key from keyed)"
+_quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+_any = lambda c, words: "(" + " or ".join(f"contains({c}, '" + w.replace("'", "''") + "')" for w in words) + ")"
+_word = lambda c, words: f"regexp_matches({c}, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(words)})($|[^\\p{{L}}\\p{{N}}_])')"
+_CORRECTION = _any("norm_key", x.CORRECTION_MARKERS)
+_CONFIRM = rf"(norm_key in ({_quoted(x.CONFIRM_KEYS)}) or regexp_full_match(norm_key, '[a-z0-9]'))"
+_KIND = f"""case when ltrim(text) like '<skill%' or length(norm_key) > 200 then 'template' when {_CORRECTION} then 'constraint'
+ when {_word("norm_key", x.TOOL_WORDS)} then 'tooling' when {_word("norm_key", x.WORKFLOW_WORDS)} or {_any("norm_key", x.WORKFLOW_MARKERS)} then 'workflow'
+ when {_any("norm_key", x.PREFERENCE_MARKERS)} then 'preference' else 'other' end"""
+_SLASH = r"regexp_full_match(trim(text), '/[A-Za-z][A-Za-z0-9_-]*(\s.*)?', 's')"
+
+
+# --- scalars and predicates -----------------------------------------------------------------------------------------
+
+
+def _scalar(name: str, adapter: str, columns: dict[str, tuple[Callable[[], Column], str]], keyed: bool = False):
+    """A query that maps each row of an adapter; ``columns``: the Spark column and its SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = adapters.frame(spark, sf_dir, adapter)
+        if keyed:
+            rows = neardup.keyed(rows)
+        return rows.select("seq", *[c().alias(n) for n, (c, _) in columns.items()])
+
+    picked = ", ".join(f"{s} as {n}" for n, (_, s) in columns.items())
+    _query(name, f"with {_KEYED} select seq, {picked} from matched" if keyed else f"select seq, {picked} from ({adapters.sql(adapter)}) d")(run)
+
+
+_text, _norm = (lambda: F.col("text")), (lambda: F.col("norm_key"))
+_scalar("p3_utterance_id", "dialog", {"utterance_id": (lambda: t.utterance_id(F.col("session_id"), F.col("entry_id")), "substr(sha256(session_id || ':' || entry_id), 1, 16)")})
+_scalar("p5_char_len", "dialog", {"char_len": (lambda: F.length("text"), "length(text)")})
+_scalar("p6_normalize_key", "parts", {"norm_key": (lambda: t.normalize_key("text"), _KEY)})
+_scalar("p7_mask_params", "dialog", {"shown": (lambda: t.shown(_text()), _masked("text", x.PATH_SHOWN, x.NUMBER_SHOWN))})
+_scalar("p8_match_key", "dialog", {"match_key": (lambda: F.col("match_key"), "match_key")}, keyed=True)
+_scalar("p9_bigrams", "parts", {"grams": (lambda: F.array_join(F.array_sort(t.bigrams(F.lower("text"))), "~"), "array_to_string(list_sort(list_distinct(list_transform(generate_series(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 2)))), '~')")})
+_scalar("p10_phrase_id", "parts", {"phrase_id": (lambda: t.digest(F.lower("text"), 12), "substr(sha256(lower(text)), 1, 12)")})
+_scalar("p11_day_span", "dialog", {"span": (lambda: t.day_span(F.lit("2024-01-31T00:00:00Z"), F.col("timestamp")), "date_diff('day', date '2024-01-31', cast(substr(timestamp, 1, 10) as date))")})
+_scalar("p12_clip", "dialog", {"clipped": (lambda: t.clip(_text(), 20), _clipped("text", 20))})
+_scalar("p14_display_cwd", "dialog", {"cwd": (lambda: t.display_cwd(F.col("cwd")), "regexp_replace(cwd, '^/(Users|home)/[^/]+', '~')")})
+_scalar("p15_cell", "dialog", {"cell": (lambda: t.cell(F.concat(_text(), F.lit(" | "), F.col("project_key"))), r"replace(trim(regexp_replace(text || ' | ' || project_key, '\s+', ' ', 'g')), '|', '\|')")})
+_scalar("f4_slash", "dialog", {"slash": (lambda: t.is_slash_command(_text()), _SLASH)})
+_scalar("f5_confirm", "dialog", {"confirm": (lambda: t.is_confirm_key(_norm()), _CONFIRM)}, keyed=True)
+_scalar("f6_correction", "dialog", {"correction": (lambda: t.is_correction_key(_norm()), _CORRECTION)}, keyed=True)
+_scalar("f8_fuzzy_eligible", "dialog", {"eligible": (lambda: F.length("match_key").between(*x.FUZZY_CHARS), "length(match_key) between 4 and 200")}, keyed=True)
+_scalar("f10_bare_path", "dialog", {"bare": (lambda: t.is_bare_path(_text()), r"regexp_full_match(trim(text), '(/|~/)\S*')")})
+_scalar("g1_classify", "dialog", {"kind": (lambda: t.classify_kind(_text(), _norm(), t.is_correction_key(_norm())), _KIND)}, keyed=True)
+
+
+@_query("p4_project_key", "select page_id, case when contains(p, '/') then split_part(p, '/', 1) else regexp_replace(p, '(.)\\.[^.]*$', '\\1') end as project_key from (select page_id, regexp_replace(url, '^https?://', '') as p from pages)")
+def _(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", t.project_key(F.regexp_replace("url", "^https?://", "")).alias("project_key"))
+
+
+@_query("p21_l2_normalize", "select vec_id, round(embedding[1] / n, 6) as first, round(embedding[64] / n, 6) as last from (select vec_id, embedding::double[] as embedding, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)")
+def _(spark, sf_dir):
+    unit = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", t.normalize_vector(F.col("embedding")).alias("v"))
+    return unit.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+
+
+@_query("f1_role_filter", "select conv_id, turn, text from conversations where role = 'user'")
+def _(spark, sf_dir):
+    return adapters.frame(spark, sf_dir, "conv").where("role = 'user'").select("conv_id", "turn", "text")
+
+
+@_query("w1_sticky_header", "select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as header from conversations")
+def _(spark, sf_dir):
+    rows = adapters.frame(spark, sf_dir, "conv").withColumn("_user", F.when(F.col("role") == "user", F.col("text")))
+    return rows.select("conv_id", "turn", extract.sticky("_user", "conv_id", "turn").alias("header"))
+
+
+# --- extract and near duplicates ------------------------------------------------------------------------------------
+
+
+@_query("a1_extract_counters", f"with {_KEYED}, disposed as (select project_key, case when trim(text) = '' then 'empty' when {_SLASH} then 'slash' when {_CONFIRM} then 'confirm' else 'kept' end as d from matched) select count(*) filter (d = 'kept') as utterances, count(distinct case when d = 'kept' then project_key end) as projects, 0 as skipped_no_session, count(*) filter (d = 'empty') as skipped_empty, count(*) filter (d = 'slash') as skipped_slash, count(*) filter (d = 'confirm') as skipped_confirm from disposed")
+def _(spark, sf_dir):
+    return extract.counters(extract.with_disposition(_dialog(spark, sf_dir)))
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialog rows without replayed copies and blank keys."""
+    rows = neardup.keyed(_dialog(spark, sf_dir)).withColumn("utterance_id", t.utterance_id(F.col("session_id"), F.col("entry_id")))
+    return neardup.drop_forks(rows).where("norm_key <> ''")
+
+
+_FORKED = f"{_KEYED}, kept as (select * from (select *, row_number() over (partition by timestamp, norm_key order by seq) as rn from matched) r where rn = 1 and norm_key <> '')"
+
+
+@_query("w2_fork_dedup", f"with {_FORKED} select seq, norm_key from kept")
+def _(spark, sf_dir):
+    return _kept(spark, sf_dir).select("seq", "norm_key")
+
+
+@_query("a2_group_match_key", f"with {_FORKED} select match_key, count(*) as n, min(seq) as key_ord, count(distinct project_key) as projects from kept group by match_key")
+def _(spark, sf_dir):
+    return _kept(spark, sf_dir).groupBy("match_key").agg(F.count("*").alias("n"), F.min("seq").alias("key_ord"), F.count_distinct("project_key").alias("projects"))
+
+
+def _part_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).groupBy(F.lower("text").alias("key")).agg(F.min("seq").alias("ord"))
+
+
+_PART_KEYS = f"keys as (select lower(text) as key, min(seq) as ord from ({_P}) p group by 1)"
+_GRAMS = "list_distinct(list_transform(generate_series(1, greatest(length({0}) - 1, 1)), lambda i: substr({0}, i, 2)))"
+
+
+@_query("a3_bigram_df", f"with {_PART_KEYS} select gram, count(*) as df from (select unnest({_GRAMS.format('key')}) as gram from keys) group by gram")
+def _(spark, sf_dir):
+    return _part_keys(spark, sf_dir).select(F.explode(t.bigrams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+
+def _pairs_sql(keys: str) -> str:
+    return f"{keys}, sets as (select ord, {_GRAMS.format('key')} as g from keys), pairs as (select a, b, k / (n + m - k) as similarity from (select p.ord as a, q.ord as b, len(list_intersect(p.g, q.g))::double as k, len(p.g) as n, len(q.g) as m from sets p join sets q on p.ord < q.ord) where k / (n + m - k) >= 0.85::double)"
+
+
+_NAME_KEYS = "keys as (select lower(c_name) as key, min(c_custkey) as ord from customer group by 1)"
+
+
+@_query("j1_jaccard_pairs_parts", f"with {_pairs_sql(_PART_KEYS)} select a, b, round(similarity, 6) as similarity from pairs")
+def _(spark, sf_dir):
+    return neardup.jaccard_pairs(_part_keys(spark, sf_dir)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@_query("j1_jaccard_pairs_names", f"with {_pairs_sql(_NAME_KEYS)} select a, b, round(similarity, 6) as similarity from pairs")
+def _(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.lower("c_name").alias("key")).agg(F.min("c_custkey").alias("ord"))
+    return neardup.jaccard_pairs(names).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+_REACH = "edges as (select a as src, b as dst from pairs union select b, a from pairs), reach as (select src as node, dst as other from edges union select r.node, e.dst from reach r join edges e on r.other = e.src)"
+
+
+@_query("c5_components", f"with recursive {_pairs_sql(_PART_KEYS)}, {_REACH} select node, least(node, min(other)) as component from reach group by node")
+def _(spark, sf_dir):
+    return connected_components(neardup.jaccard_pairs(_part_keys(spark, sf_dir)), "a", "b")
+
+
+def _dialog_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _kept(spark, sf_dir)
+    return neardup.phrases(kept, kept.groupBy("match_key").agg(F.min("seq").alias("key_ord")).withColumn("component", F.col("key_ord")))
+
+
+_PHRASES = f"""{_FORKED}, grouped as (select *, min(seq) over (partition by match_key) as component from kept),
+wordings as (select component, text, count(*) as n, min(timestamp || '~' || lpad(cast(seq as varchar), 12, '0')) as first_at from grouped group by 1, 2),
+chosen as (select component, text from (select *, row_number() over (partition by component order by n desc, first_at) as best from wordings) w where best = 1),
+rolled as (select component, count(*) as count, list_sort(list(distinct project_key)) as project_keys, min(timestamp) as first_timestamp, max(timestamp) as last_timestamp from grouped group by 1),
+named as (select r.*, c.text, {_KEY.replace('text', 'c.text')} as norm_key from rolled r join chosen c using (component)),
+phrases as (select *, {_CORRECTION} as is_correction, row_number() over (order by count desc, norm_key) - 1 as ord, substr(sha256(norm_key), 1, 12) as phrase_id from named)"""
+
+
+@_query("a4_phrases", f"with {_PHRASES} select ord, phrase_id, text, norm_key, count, array_to_string(project_keys, ',') as projects, first_timestamp, last_timestamp, is_correction from phrases")
+def _(spark, sf_dir):
+    return _dialog_phrases(spark, sf_dir).select("ord", "phrase_id", "text", "norm_key", "count", F.array_join("project_keys", ",").alias("projects"), "first_timestamp", "last_timestamp", "is_correction")
+
+
+# --- clusters -------------------------------------------------------------------------------------------------------
+
+_TERMS = """clean as (select ord, regexp_replace(substr(key, 1, 300), '\\s\\s+', ' ', 'g') as c from keys),
+terms as (select ord, term, count(*) as tf from (select ord, unnest(flatten(list_transform([2, 3, 4], lambda n: list_transform(generate_series(1, length(c) - n + 1), lambda i: substr(c, i, n))))) as term from clean) group by 1, 2),
+dfs as (select term, count(*) as df from terms group by 1),
+raw as (select ord, t.term, df, (1 + ln(tf)) * (ln((1 + (select count(*) from keys)) / (1 + df)) + 1) as w from terms t join dfs d on t.term = d.term),
+weights as (select ord, term, df, w / sqrt(sum(w * w) over (partition by ord)) as weight from raw)"""
+
+
+@_query("c2_tfidf_weights", f"with {_PART_KEYS}, {_TERMS} select ord, term, df, round(weight, 6) as weight from weights")
+def _(spark, sf_dir):
+    return clusters.tfidf_weights(_part_keys(spark, sf_dir)).select("ord", "term", "df", F.round("weight", 6).alias("weight"))
+
+
+_COSINE = f"{_PART_KEYS}, {_TERMS}, pairs as (select p.ord as a, q.ord as b, sum(p.weight * q.weight) as similarity from weights p join weights q on p.term = q.term and p.ord < q.ord group by 1, 2 having sum(p.weight * q.weight) >= 0.55)"
+
+
+@_query("c3_tfidf_pairs", f"with {_COSINE} select a, b, round(similarity, 6) as similarity from pairs")
+def _(spark, sf_dir):
+    pairs = clusters.cosine_pairs(clusters.tfidf_weights(_part_keys(spark, sf_dir)), x.COSINE_TFIDF)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@_query(
+    "c1_leaders_tfidf",
+    f"""with recursive {_COSINE}, numbered as (select ord, row_number() over (order by ord) as i from keys),
+near as (select b, list(a order by similarity desc, a) as before from pairs group by b),
+walk as (select 0::bigint as i, []::bigint[] as leaders, 0::bigint as ord, 0::bigint as leader union all
+  select n.i, case when l.pick is null then list_append(l.leaders, n.ord) else l.leaders end, n.ord, coalesce(l.pick, n.ord)
+  from (select w.i, w.leaders, list_filter(coalesce(r.before, []), lambda e: list_contains(w.leaders, e))[1] as pick from walk w join numbered m on m.i = w.i + 1 left join near r on r.b = m.ord) l join numbered n on n.i = l.i + 1)
+select ord, leader from walk where i > 0""",
+)
+def _(spark, sf_dir):
+    keys = saved(_part_keys(spark, sf_dir), "keys")
+    return clusters.leader_clusters(keys, clusters.cosine_pairs(clusters.tfidf_weights(keys), x.COSINE_TFIDF))
+
+
+@_query("c4_cosine_pairs", "with u as (select vec_id, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings) select a, b, round(s, 6) as similarity from (select p.vec_id as a, q.vec_id as b, list_dot_product(p.v, q.v) / (p.n * q.n) as s from u p join u q on p.vec_id < q.vec_id) where s >= 0.4")
+def _(spark, sf_dir):
+    unit = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ord"), t.normalize_vector(F.col("embedding")).alias("vector"))
+    return clusters.dense_pairs(unit, 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+# --- grading --------------------------------------------------------------------------------------------------------
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phrase its own cluster: what SQL can rank too."""
+    phrases = saved(_dialog_phrases(spark, sf_dir), "phrases")
+    return grade.candidates(phrases, phrases.select("ord", F.col("ord").alias("leader")))
+
+
+_RANKED = f"""{_PHRASES}, graded as (select *, len(project_keys) as project_count, date_diff('day', cast(substr(first_timestamp, 1, 10) as date), cast(substr(last_timestamp, 1, 10) as date)) as day_span,
+  {_KIND} as kind from phrases where count >= 3 and not regexp_full_match(trim(text), '(/|~/)\\S*')),
+confident as (select *, case when project_count >= 3 or (day_span >= 90 and count >= 9) then 'strong' else 'medium' end as confidence from graded),
+sectioned as (select *, case when kind = 'template' then 'template' when confidence = 'medium' then 'medium' else kind end as section,
+  case {" ".join(f"when kind = '{k}' and confidence = '{c}' then '{d}'" for (k, c), d in x.DESTINATIONS.items())} else 'observe' end as suggested_dest,
+  case when kind = 'template' then {_clipped("text", 60)} else {_clipped(_masked("text", x.PATH_SHOWN, x.NUMBER_SHOWN), 60)} end as label from confident),
+ranked as (select *, row_number() over (order by list_position([{_quoted(x.SECTIONS)}], section), confidence desc, count desc, project_count desc, phrase_id) as number from sectioned)"""
+
+
+@_query("g5_candidates", f"with {_RANKED} select number, phrase_id as candidate_id, label, count, project_count, day_span, kind, suggested_dest, confidence, section from ranked")
+def _(spark, sf_dir):
+    return _ranked(spark, sf_dir).drop("variant_count", "variants", "project_keys")
+
+
+@_query("w6_section_topk", f"with {_RANKED} select section, number from (select section, number, row_number() over (partition by section order by number) as place from ranked) r where place <= 8")
+def _(spark, sf_dir):
+    return grade.section_top(_ranked(spark, sf_dir)).select("section", "number")
+
+
+@_query("a7_strong_count", f"with {_RANKED} select count(*) as candidates, count(*) filter (confidence = 'strong') as strong from ranked")
+def _(spark, sf_dir):
+    return _ranked(spark, sf_dir).agg(F.count("*").alias("candidates"), F.count_if(F.col("confidence") == "strong").alias("strong"))
+
+
+@_query("a8_correction_share", f"with {_PHRASES} select sum(count)::bigint as total, coalesce(sum(case when {_KIND} = 'constraint' then count end), 0)::bigint as corrections from phrases")
+def _(spark, sf_dir):
+    return grade.correction_share(_dialog_phrases(spark, sf_dir))
+
+
+@_query("a9_project_distribution", f"select project_key, regexp_replace(arg_min(cwd, seq), '^/(Users|home)/[^/]+', '~') as cwd, count(*) as n from ({_D}) d group by project_key order by n desc, min(seq) limit 10")
+def _(spark, sf_dir):
+    return grade.project_distribution(_dialog(spark, sf_dir))
+
+
+def mine(spark: SparkSession, utterances: DataFrame, min_count: int = 3, min_projects: int = 3, backend: str = "tfidf") -> tuple[DataFrame, DataFrame]:
+    """The whole of mining: phrases and ranked candidates of ``utterances``."""
+    rows = neardup.drop_forks(neardup.keyed(utterances))
+    phrases = saved(neardup.phrases(rows, neardup.key_groups(rows)), "phrases")
+    keys = phrases.select("ord", t.match_key(F.col("norm_key")).alias("key"))
+    pairs = clusters.cosine_pairs(clusters.tfidf_weights(keys), x.COSINE_TFIDF)
+    return phrases, grade.candidates(phrases, clusters.leader_clusters(phrases, pairs), min_count, min_projects)
+
+
+@_query("mine_candidates")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the dialog, with fuzzy merging and clusters."""
+    rows = extract.with_disposition(_dialog(spark, sf_dir)).where("disposition = 'kept'").drop("norm_key", "disposition")
+    rows = rows.withColumn("utterance_id", t.utterance_id(F.col("session_id"), F.col("entry_id")))
+    return mine(spark, rows)[1]
