@@ -68,6 +68,47 @@ def _encode(dimension: int, mean: np.ndarray, turns: list[np.ndarray]):
     return run
 
 
+def _meet(tables: list[tuple[int, int]], length: int, radius: int):
+    """Pairs of one bucket within the Hamming radius, in the first table that they share; rows come by table and substring."""
+    mask, block = np.uint64((1 << length) - 1), 1 << 18
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(table: np.ndarray, sub: np.ndarray, ids: np.ndarray, codes: np.ndarray):
+        new = np.ones(len(ids), bool)
+        new[1:] = (table[1:] != table[:-1]) | (sub[1:] != sub[:-1])
+        cuts = np.flatnonzero(new)
+        many = np.repeat(np.append(cuts[1:], len(ids)), np.diff(np.append(cuts, len(ids)))) - np.arange(len(ids)) - 1
+        total, i = np.concatenate(([0], np.cumsum(many))), 0
+        while i < len(ids) and total[i] < total[-1]:
+            j = max(i + 1, int(np.searchsorted(total, total[i] + block, side="right")) - 1)
+            x = np.repeat(np.arange(i, j), many[i:j])
+            y = x + 1 + np.arange(len(x)) - np.repeat(total[i:j] - total[i], many[i:j])
+            near = (np.bitwise_count(codes[x, 0] ^ codes[y, 0]) <= radius) & (ids[x] != ids[y])
+            x, y = x[near], y[near]
+            differ, first = codes[x] ^ codes[y], np.ones(len(x), bool)
+            for t, (r, c) in enumerate(tables):
+                first &= (t >= table[x]) | ((differ[:, r] >> np.uint64(c * length)) & mask != 0)
+            x, y = ids[x[first]], ids[y[first]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+            i = j
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            own = [batch.column(c).to_numpy() for c in ("t", "sub", "id")]
+            own.append(batch.column("codes").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1))
+            held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            last = int(np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[-1]) + 1 if (held[0][0], held[1][0]) != (held[0][-1], held[1][-1]) else 0
+            if last:
+                yield from pairs(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        if held is not None:
+            yield from pairs(*held)
+
+    return run
+
+
 def _cosine(dimension: int, threshold: float):
     def run(batches):
         for batch in batches:
@@ -100,9 +141,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     tables = [(r, c) for r in range(many) for c in range(per_code)]
     dealt = saved(coded, "codes")
     keyed = dealt.select("id", "codes", F.posexplode(F.array(*[F.expr(substring(f"codes[{r}]", c)) for r, c in tables])).alias("t", "sub"))
-    earlier = " or ".join(f"(a.t > {t} and {substring(f'(a.codes[{r}] ^ b.codes[{r}])', c)} = 0)" for t, (r, c) in enumerate(tables[:-1])) or "false"
-    close = f"a.t = b.t and a.sub = b.sub and a.id < b.id and bit_count(a.codes[0] ^ b.codes[0]) <= {radius} and not ({earlier})"
-    pairs = keyed.alias("a").join(keyed.alias("b"), F.expr(close)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    met = keyed.repartition(ws.shuffle_width(spark), "t", "sub").sortWithinPartitions("t", "sub")
+    pairs = met.mapInArrow(_meet(tables, length, radius), "a long, b long")
 
     left = classes.select(F.col("id").alias("a"), F.col("vector").alias("x"), F.col("n").alias("n_a"))
     right = classes.select(F.col("id").alias("b"), F.col("vector").alias("y"), F.col("n").alias("n_b"))
