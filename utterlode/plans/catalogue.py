@@ -314,3 +314,23 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract.with_disposition(_dialog(spark, sf_dir)).where("disposition = 'kept'").drop("norm_key", "disposition")
     rows = rows.withColumn("utterance_id", t.utterance_id(F.col("session_id"), F.col("entry_id")))
     return mine(spark, rows)[1]
+
+
+# --- caches and evidence --------------------------------------------------------------------------------------------
+
+
+@_query("j5_cache_anti", f"select distinct sha256(concat_ws(chr(0), 'm', substr(text, 1, 1000))) as key, substr(text, 1, 1000) as sent from ({_P}) p where text not in (select p_name from part where p_partkey <= 20)")
+def _(spark, sf_dir):
+    from ..operators import embedding
+
+    parts = _parts(spark, sf_dir)
+    return embedding.missing(embedding.with_keys(parts, "m"), embedding.with_keys(parts.where("seq <= 20"), "m"))
+
+
+@_query("j8_evidence_rollup", f"with {_RANKED}, cited as (select number % 4 as id, count, project_keys from ranked), sums as (select id, sum(count)::bigint as count from cited group by id), spread as (select id, count(distinct p) as project_count from (select id, unnest(project_keys) as p from cited) u group by id) select id, count, project_count from sums join spread using (id)")
+def _(spark, sf_dir):
+    from ..operators import synthesis
+
+    ranked = saved(_ranked(spark, sf_dir), "ranked")
+    claims = ranked.groupBy((F.col("number") % 4).alias("id")).agg(F.collect_list("number").alias("evidence"))
+    return synthesis.evidence_rollup(claims, ranked).select("id", "count", "project_count")
