@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .wordstream import shield
+
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 SPREAD = 64
@@ -53,7 +55,7 @@ def source_targets(sized: DataFrame, source_col: str = "source") -> DataFrame:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (copies times size)."""
-    docs = docs.drop(*[c for c in ADDED if c in docs.columns and c not in (id_col, text_col, source_col)])
+    docs, names = shield(docs.drop(*ADDED), ("_s", "_len", "_top", "_sub", "_len_", "_top_", "_sub_", "_rank", "_ahead", "_offset", "_upto", "_each"))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
     binary = F.bin("size")
     sized = sized.withColumns({"_len": F.length(binary), "_top": F.substring(binary, 1, 4), "_sub": F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(SPREAD))})
@@ -74,12 +76,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = sized.withColumn("_rank", rank).join(plan, same)
     out = out.withColumn("_upto", F.col("_rank") + F.col("_ahead")).withColumn("_each", expected)
     copies = F.floor(F.col("_each") * F.col("_upto") + F.col("_offset")) - F.floor(F.col("_each") * (F.col("_upto") - 1) + F.col("_offset"))
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, *ADDED)
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, *ADDED).withColumnsRenamed(names)
 
 
 def mixed_rows(docs: DataFrame, **names: str) -> DataFrame:
-    """The mix itself: each document as many times as it has copies, with its own columns."""
-    return mix_sources(docs, **names).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: each document as many times as it has copies, with its own columns, also those named like added ones."""
+    held, back = shield(docs, ADDED)
+    mixed = mix_sources(held, **names).where("copies > 0")
+    return mixed.select(*held.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*held.columns).withColumnsRenamed(back)
 
 
 ORACLE = r"""

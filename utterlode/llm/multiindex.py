@@ -29,6 +29,8 @@ from .vectors import common_length, matrix, sample, usable
 
 K, TOP, VISIT = 32, 20, 0.65
 SAMPLE, BLOCK, QUERIES = 20_000, 8192, 4096
+#: A query visits at least so many times the entries that it returns.
+LEAST = 50
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -151,7 +153,7 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], id_col: str
     if not counts.sum():
         return empty
     queries = queries.withColumn("set", F.pmod(F.xxhash64("id"), F.lit(sets)).cast("int"))
-    probes = queries.mapInArrow(_probe(dimension, first, second, counts, visit * counts.sum(), salts), "i int, salt int, set int, id long, vector array<float>, cells array<int>")
+    probes = queries.mapInArrow(_probe(dimension, first, second, counts, max(visit * counts.sum(), LEAST * top), salts), "i int, salt int, set int, id long, vector array<float>, cells array<int>")
     salt_of = F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("i") + 1)
     dealt = entries.withColumn("salt", F.pmod(F.xxhash64("id"), salt_of).cast("int")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     found = probes.groupBy("i", "salt", "set").cogroup(dealt.groupBy("i", "salt", "set")).applyInArrow(_rerank(dimension, len(second), top), "query_id long, vec_id long, score double")

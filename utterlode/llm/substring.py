@@ -253,7 +253,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     ws.tune(spark)
     bits, width = ws.bucket_bits(spark), ws.shuffle_width(spark)
-    docs = docs.drop(*[c for c in (*ADDED, "_row_key", "_found") if c in docs.columns])
+    docs, names = ws.shield(docs.drop(*ADDED), ("_row_key", "_found", "_seeds", "_id"))
     keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
     taking_part = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
 
@@ -276,4 +276,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = T.StructType([*[f for f in docs.schema.fields], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return joined.drop("_row_key").mapInArrow(_cut_map(span, to_arrow_schema(out), text_col), out)
+    return joined.drop("_row_key").mapInArrow(_cut_map(span, to_arrow_schema(out), text_col), out).withColumnsRenamed(names)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE = 1 << 20
 _MASK = (1 << 64) - 1
@@ -34,6 +34,18 @@ def bucket_bits(spark: SparkSession) -> int:
     return max(4, (shuffle_width(spark) - 1).bit_length())
 
 
+def shield(df: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns that bear an operator's internal names renamed, and the names to give back."""
+    back, taken = {}, {*df.columns, *reserved}
+    for name in [c for c in df.columns if c in reserved]:
+        free = f"_{name}"
+        while free in taken:
+            free = f"_{free}"
+        taken.add(free)
+        back[free], df = name, df.withColumnRenamed(name, free)
+    return df, back
+
+
 # --- slices ---------------------------------------------------------------------------------------------------------
 
 
