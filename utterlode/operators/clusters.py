@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,24 @@ def cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
     return dots.where(F.col("similarity") >= threshold)
 
 
-def dense_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, similarity`` for unit vectors ``ord, vector``: dimensions become terms, so the prefix join applies."""
-    terms = vectors.select("ord", F.posexplode("vector").alias("term", "weight")).where("weight <> 0").withColumn("weight", F.col("weight").cast("double"))
-    return cosine_pairs(terms.withColumn("df", F.lit(0)), threshold)
+def dense_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """``a, b, similarity`` for unit vectors ``ord, vector``: no term is rare in a dense vector, so blocks of rows meet
+    and a matrix product finds what is near. A task holds two blocks, whatever the number of vectors."""
+    blocks = max(1, -(-vectors.count() // block))
+    dealt = vectors.select("ord", "vector", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias("own"))
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))))
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        scores = np.stack(x["vector"].to_list()) @ np.stack(y["vector"].to_list()).T
+        r, c = np.nonzero(scores >= threshold)
+        a, b = x["ord"].to_numpy()[r], y["ord"].to_numpy()[c]
+        kept = (a < b) if x["own"].iloc[0] == y["own"].iloc[0] else (a != b)
+        return pd.DataFrame({"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept], "similarity": scores[r, c][kept]})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, "a long, b long, similarity double")
 
 
 def leader_clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
