@@ -150,3 +150,14 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_dense_pairs_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((90, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, vector array<double>")
+    got = {(r["a"], r["b"]) for r in clusters.dense_pairs(frame, 0.6, block=20).collect()}
+    near = x @ x.T >= 0.6
+    assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if near[i, j]}

@@ -42,19 +42,20 @@ def dense_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> Data
     and a matrix product finds what is near. A task holds two blocks, whatever the number of vectors."""
     blocks = max(1, -(-vectors.count() // block))
     dealt = vectors.select("ord", "vector", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias("own"))
-    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))))
-    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    left = dealt.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"), "ord", "vector")
+    again = [F.col(c).alias(f"{c}_b") for c in ("ord", "vector")]  # new names: both sides come from one table
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i_b"), F.col("own").alias("j_b"), *again)
 
     def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        scores = np.stack(x["vector"].to_list()) @ np.stack(y["vector"].to_list()).T
+        scores = np.stack(x["vector"].to_list()) @ np.stack(y["vector_b"].to_list()).T
         r, c = np.nonzero(scores >= threshold)
-        a, b = x["ord"].to_numpy()[r], y["ord"].to_numpy()[c]
-        kept = (a < b) if x["own"].iloc[0] == y["own"].iloc[0] else (a != b)
+        a, b = x["ord"].to_numpy()[r], y["ord_b"].to_numpy()[c]
+        kept = (a < b) if x["i"].iloc[0] == x["j"].iloc[0] else (a != b)
         return pd.DataFrame({"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept], "similarity": scores[r, c][kept]})
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, "a long, b long, similarity double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i_b", "j_b")).applyInPandas(near, "a long, b long, similarity double")
 
 
 def leader_clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
