@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: A label may hold most rows, so it is ranked in so many parts first.
+PARTS = 64
 
 
 def held_out(id_col: str) -> Column:
@@ -15,6 +17,9 @@ def held_out(id_col: str) -> Column:
 
 def sample_ids(labelled: DataFrame, label: str, each: int, most: int) -> DataFrame:
     """At most ``each`` ids of every label, and ``most`` in all, those with the smallest hash: ``id`` and ``label``."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    picked = labelled.select("id", F.col(label).alias("label")).withColumn("rank", rank).where(F.col("rank") <= each)
+    by_hash = (F.xxhash64("id"), F.col("id"))
+    rows = labelled.select("id", F.col(label).alias("label")).withColumn("part", F.pmod(F.hash("id"), F.lit(PARTS)))
+    first = F.row_number().over(Window.partitionBy("label", "part").orderBy(*by_hash))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(*by_hash))
+    picked = rows.withColumn("first", first).where(F.col("first") <= max(1, -(-4 * each // PARTS))).withColumn("rank", rank).where(F.col("rank") <= each)
     return picked.orderBy("rank", F.xxhash64("id"), "label").limit(most).select("id", "label")
