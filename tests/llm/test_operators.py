@@ -100,6 +100,32 @@ def test_jaccard(docs, odd, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_shared_line(spark):
+    """A line that most documents share is answered without its bucket, and links stay exact."""
+    rng = random.Random(3)
+    line = "this line is in nearly every document of the table".split()
+    texts = [line + [f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 1, 1, 2, 2, 6]))] for _ in range(500)] + [[f"x{i}{j}" for j in range(6)] for i in range(60)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    signed = rows.mapInArrow(jaccard._sign(5, 44), "doc_id long, n_shingles long, sig long, often binary")
+    assert 5 <= len(jaccard._heavy(signed, 4)) <= 32
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(rows).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+    assert len({c for _, c in got.values()}) > 61
+
+
 def test_mixing(docs, odd, empty):
     rows = mixing.mix_sources(docs).collect()
     assert {r["doc_id"]: r["size"] for r in rows} == {r["doc_id"]: len(words(r["text"])) for r in docs.collect()}

@@ -4,8 +4,10 @@ A document is the set of its distinct ``k``-word shingles (with fewer words: its
 
 1. *Classes.* Documents with equal sets fall into one class by a 64-bit signature of the set; classes take part below,
    so thousands of copies count as one.
-2. *Rarity.* Every shingle of the corpus is counted over classes, exactly, in hash buckets: a task sends its shingles as
-   packed arrays of 7 bytes each, and the bucket answers with the counts of those that two classes or more hold.
+2. *Rarity.* Shingles are counted over classes in hash buckets: a task sends its shingles as packed arrays of 7 bytes
+   each, and the bucket answers with the counts of those that two classes or more hold. A shingle that alone would fill
+   an eighth of a bucket is found beforehand by summing counts of slices (``_heavy``), ranks last, and never travels to a
+   bucket, so no bucket grows with the documents that share a line.
    A shingle that one class holds alone comes first in the rare-first order and can match nothing, so its name is never
    sent back.
 3. *Prefixes.* Of ``n`` shingles in rare-first order, the first ``n - ceil(t n) + 1`` make the prefix; lone shingles use
@@ -39,6 +41,12 @@ from . import wordstream as ws
 K = 5
 PERCENT = 80
 HASH_BITS, OWNER_BITS = 52, 12
+#: A slice (up to 1000 rows or 2 MB) reports the shingles that so many of its classes hold.
+OFTEN = 16
+#: A shingle is heavy if it has more than one in ``BUCKET_PARTS * width`` of all entries; at most so many can be.
+BUCKET_PARTS = 8
+#: The highest count told apart; heavy shingles rank there.
+MOST = 4095
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -72,20 +80,49 @@ def _signatures(n_rows: int, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.n
     return counts, ws.mix64(sums[edges[1:]] - sums[edges[:-1]] + counts.astype(np.uint64)).view(np.int64)
 
 
-def _sign(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
+def _one_each(sigs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which entries belong to the first row of each class of a slice."""
+    _, unique = np.unique(sigs, return_index=True)
+    one = np.zeros(len(sigs), bool)
+    one[unique] = True
+    return one[rows]
+
+
+def _sign(k: int, kept: int):
+    """Size and signature of each row's set; a slice's first row carries the shingles that are frequent in it, and counts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("often", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, rows, hashes in _sets(batch, k):
                 counts, sigs = _signatures(hi - lo, rows, hashes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(sigs)], schema=schema)
+                names = np.sort(hashes[_one_each(sigs, rows)] >> np.uint64(HASH_BITS - kept))
+                at = ws.runs(names)
+                held_by = np.diff(np.append(at, len(names)))
+                many = held_by >= OFTEN
+                often = ws.pack(names[at[many]].view(np.int64), held_by[many]) if many.any() else None
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(sigs), pa.array([often] + [None] * (hi - lo - 1), pa.binary())], schema=schema)
 
     return run
 
 
-def _deal(k: int, bits: int):
-    """Each slice's shingles, dealt to buckets: low hash bits, index of the class, classes."""
+def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("often").to_pylist():
+            names, held_by = ws.unpack(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(held_by, pa.int64())], names=["name", "held_by"])
+
+
+def _heavy(signed: DataFrame, width: int) -> np.ndarray:
+    """Names of the heavy shingles, sorted: ``BUCKET_PARTS * width`` at most, as their shares add up to no more than all."""
+    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    counts = signed.where("often is not null").select("often").mapInArrow(_reported, "name long, held_by long").groupBy("name").agg(F.sum("held_by").alias("held_by"))
+    rows = counts.where(F.col("held_by") * BUCKET_PARTS * width > total).select("name").collect()
+    return np.sort(np.array([r["name"] for r in rows], np.int64).view(np.uint64))
+
+
+def _deal(k: int, bits: int, heavy: np.ndarray):
+    """Each slice's shingles, dealt to buckets: low hash bits, index of the class, classes. Heavy ones are answered here."""
     kept = min(HASH_BITS, bits + 40)
     drop, rest = np.uint64(HASH_BITS - kept), np.uint64(OWNER_BITS)
 
@@ -93,14 +130,16 @@ def _deal(k: int, bits: int):
         for batch in batches:
             for lo, hi, rows, hashes in _sets(batch, k):
                 _, sigs = _signatures(hi - lo, rows, hashes)
-                _, unique = np.unique(sigs, return_index=True)
-                one = np.zeros(hi - lo, bool)
-                one[unique] = True
-                one = one[rows]
-                keys = np.sort(((hashes[one] >> drop) << rest) | rows[one].astype(np.uint64))
+                one = _one_each(sigs, rows)
+                names, rows = hashes[one] >> drop, rows[one]
+                out = []
+                if len(heavy):
+                    known = heavy[np.minimum(np.searchsorted(heavy, names), len(heavy) - 1)] == names
+                    out += ws.answers(bits, sigs[rows[known]], (np.uint64(MOST) << np.uint64(HASH_BITS)) | names[known])
+                    names, rows = names[~known], rows[~known]
+                keys = np.sort((names << rest) | rows.astype(np.uint64))
                 edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(kept - bits + OWNER_BITS)).tolist()
                 edges.append(len(keys))
-                out = []
                 for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     if a < b:
                         low = (keys[a:b] >> rest) & _LOW
@@ -135,12 +174,12 @@ def _count(bits: int):
         low, sigs, df = low[df > 1], sigs[df > 1], df[df > 1]
         # rare first: by count, then by hash
         name = (np.uint64(bucket) << width) | (low & ((np.uint64(1) << width) - np.uint64(1)))
-        keys = (np.minimum(df, 4095).astype(np.uint64) << np.uint64(HASH_BITS)) | name
+        keys = (np.minimum(df, MOST).astype(np.uint64) << np.uint64(HASH_BITS)) | name
         return ws.dealt(ws.answers(bits, sigs, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in ws.buckets(batches):
-            yield answer(bucket, blobs)
+            yield blobs if bucket is None else answer(bucket, blobs)
 
     return run
 
@@ -152,10 +191,10 @@ def _prefixes(percent: int):
         for batch in batches:
             out = []
             for node, n, blob in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                shared = len(blob) // 8
-                prefix = shared - (percent * n + 99) // 100 + 1
+                keys = np.unique(np.frombuffer(blob, np.uint64))  # slices that hold copies of a class each answer heavy ones
+                prefix = len(keys) - (percent * n + 99) // 100 + 1
                 if prefix > 0:
-                    out.append((node, n, np.sort(np.frombuffer(blob, np.uint64)).tobytes(), prefix))
+                    out.append((node, n, keys.tobytes(), prefix))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], schema.field(c).type) for c in range(4)], schema=schema)
 
     return run
@@ -245,11 +284,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits, width = ws.bucket_bits(spark), ws.shuffle_width(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    signed = saved(texts.mapInArrow(_sign(k), "doc_id long, n_shingles long, sig long"), "signed")
+    signed = saved(texts.mapInArrow(_sign(k, min(HASH_BITS, bits + 40)), "doc_id long, n_shingles long, sig long, often binary"), "signed")
+    heavy = _heavy(signed, width)
     classes = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")).where("node is not null")
 
     met = (
-        texts.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_deal(k, bits), ws.DEALT_TYPE)
+        texts.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_deal(k, bits, heavy), ws.DEALT_TYPE)
         .repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(bits), ws.DEALT_TYPE)
     )
     counted = met.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(ws.gather("sig"), "sig long, blob binary")
