@@ -281,7 +281,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id, n_shingles, component_id`` for each row: the smallest id that links of similarity ``percent`` reach."""
     spark = docs.sparkSession
     ws.tune(spark)
-    bits, width = ws.bucket_bits(spark), ws.shuffle_width(spark)
+    width = ws.shuffle_width(spark)
+    bits = max(4, ws.bucket_bits(spark) - 1)  # a bucket gets the name of each class it sees, so half as many buckets carry half the names
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     signed = saved(texts.mapInArrow(_sign(k, min(HASH_BITS, bits + 40)), "doc_id long, n_shingles long, sig long, often binary"), "signed")
