@@ -7,6 +7,7 @@ bounds the memory of a worker whatever the size of an Arrow batch; a longer text
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -19,10 +20,29 @@ SLICE = 1 << 20
 _MASK = (1 << 64) - 1
 
 
+def _give_back_freed_memory() -> None:
+    """Python workers live on between tasks: have them return large freed arrays to the system at once.
+
+    By default glibc raises the size from which it maps memory to 32 MB as arrays are freed, and keeps what lies below;
+    Arrow's own pool keeps freed memory too.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # not glibc
+        return
+    mmap_threshold, arena_max = -3, -8  # fixed values of malloc.h
+    mallopt(mmap_threshold, 1 << 20)
+    mallopt(arena_max, 2)
+
+
+_give_back_freed_memory()
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get: rows may hold texts of any length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shuffle_width(spark: SparkSession) -> int:
