@@ -87,6 +87,7 @@ def _scalar(name: str, adapter: str, columns: dict[str, tuple[Callable[[], Colum
 
 
 _text, _norm = (lambda: F.col("text")), (lambda: F.col("norm_key"))
+_scalar("p2_strip", "dialog", {"stripped": (lambda: t.strip(F.concat(F.lit(" \t"), _text(), F.lit("\n "))), r"regexp_replace(' ' || chr(9) || text || chr(10) || ' ', '^\s+|\s+$', '', 'g')")})
 _scalar("p3_utterance_id", "dialog", {"utterance_id": (lambda: t.utterance_id(F.col("session_id"), F.col("entry_id")), "substr(sha256(session_id || ':' || entry_id), 1, 16)")})
 _scalar("p5_char_len", "dialog", {"char_len": (lambda: F.length("text"), "length(text)")})
 _scalar("p6_normalize_key", "parts", {"norm_key": (lambda: t.normalize_key("text"), _KEY)})
@@ -106,6 +107,33 @@ _scalar("f10_bare_path", "dialog", {"bare": (lambda: t.is_bare_path(_text()), r"
 _scalar("g1_classify", "dialog", {"kind": (lambda: t.classify_kind(_text(), _norm(), t.is_correction_key(_norm())), _KIND)}, keyed=True)
 
 
+_CITED = "[seq % 7, seq % 5, seq % 7, seq % 3]"
+
+
+@_query("f12_valid_evidence", f"select seq, array_to_string(list_sort(list_distinct(list_filter({_CITED}, lambda e: e in (1, 2, 4, 6)))), ',') as evidence from ({_D}) d")
+def _(spark, sf_dir):
+    from ..operators import synthesis
+
+    cited = F.array(*(F.col("seq") % n for n in (7, 5, 7, 3)))
+    allowed = F.array(*(F.lit(n).cast("long") for n in (1, 2, 4, 6)))
+    return _dialog(spark, sf_dir).select("seq", F.array_join(synthesis.valid_evidence(cited, allowed), ",").alias("evidence"))
+
+
+_KINDS = f"kinds as (select seq, {_KIND} as kind, case when seq % 2 = 0 then 'strong' else 'medium' end as confidence from matched)"
+
+
+@_query(
+    "j9_destination",
+    f"""with {_KEYED}, {_KINDS} select seq, case {" ".join(f"when kind = '{k}' and confidence = '{c}' then '{d}'" for (k, c), d in x.DESTINATIONS.items())} else 'observe' end as dest,
+  case when kind = 'template' then 'template' when confidence = 'medium' then 'medium' else kind end as section from kinds""",
+)
+def _(spark, sf_dir):
+    rows = neardup.keyed(_dialog(spark, sf_dir)).withColumn("kind", t.classify_kind(_text(), _norm(), t.is_correction_key(_norm())))
+    rows = rows.withColumn("confidence", F.when(F.col("seq") % 2 == 0, "strong").otherwise("medium"))
+    kind, confidence = F.col("kind"), F.col("confidence")
+    return rows.select("seq", t.destination(kind, confidence).alias("dest"), t.review_section(kind, confidence).alias("section"))
+
+
 @_query("p4_project_key", "select page_id, case when contains(p, '/') then split_part(p, '/', 1) else regexp_replace(p, '(.)\\.[^.]*$', '\\1') end as project_key from (select page_id, regexp_replace(url, '^https?://', '') as p from pages)")
 def _(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -151,6 +179,13 @@ def _(spark, sf_dir):
     return _kept(spark, sf_dir).select("seq", "norm_key")
 
 
+@_query("a12_fork_count", f"with {_KEYED} select count(*) - (select count(*) from (select distinct timestamp, norm_key from matched)) as forks from matched")
+def _(spark, sf_dir):
+    rows = neardup.keyed(_dialog(spark, sf_dir))
+    balance = rows.select(F.lit(1).alias("one")).unionAll(neardup.drop_forks(rows).select(F.lit(-1)))
+    return balance.agg(F.sum("one").alias("forks"))
+
+
 @_query("a2_group_match_key", f"with {_FORKED} select match_key, count(*) as n, min(seq) as key_ord, count(distinct project_key) as projects from kept group by match_key")
 def _(spark, sf_dir):
     return _kept(spark, sf_dir).groupBy("match_key").agg(F.count("*").alias("n"), F.min("seq").alias("key_ord"), F.count_distinct("project_key").alias("projects"))
@@ -279,6 +314,22 @@ def _(spark, sf_dir):
     return _ranked(spark, sf_dir).drop("variant_count", "variants", "project_keys")
 
 
+_TENTHS = f"""with {_PHRASES}, members as (select *, ord % 10 as leader, {_clipped(_masked("text", x.PATH_SHOWN, x.NUMBER_SHOWN), x.VARIANT_CHARS)} as pattern from phrases),
+patterns as (select leader, pattern, sum(count)::bigint as n, min(ord) as first_ord from members group by 1, 2),
+variants as (select leader, count(*) as variant_count, array_to_string(list(pattern || '*' || n order by n desc, first_ord)[1:{x.VARIANTS_SHOWN}], '; ') as variants from patterns group by 1),
+tenths as (select leader, sum(count)::bigint as count, len(list_distinct(flatten(list(project_keys)))) as project_count, date_diff('day', cast(substr(min(first_timestamp), 1, 10) as date), cast(substr(max(last_timestamp), 1, 10) as date)) as day_span from members group by 1)
+select p.phrase_id as candidate_id, r.count, r.project_count, r.day_span, v.variant_count, v.variants from tenths r join variants v using (leader) join phrases p on p.ord = r.leader where not regexp_full_match(trim(p.text), '(/|~/)\\S*')"""
+
+
+@_query("a5_cluster_rollup", _TENTHS)
+def _(spark, sf_dir):
+    """Counts, projects, days and most frequent patterns of clusters of phrases: every tenth phrase, led by the first."""
+    phrases = saved(_dialog_phrases(spark, sf_dir), "phrases")
+    found = grade.candidates(phrases, phrases.select("ord", (F.col("ord") % 10).alias("leader")), min_count=1)
+    shown = F.array_join(F.transform("variants", lambda v: F.concat(v["text"], F.lit("*"), v["count"].cast("string"))), "; ")
+    return found.select("candidate_id", "count", "project_count", "day_span", "variant_count", shown.alias("variants"))
+
+
 @_query("w6_section_topk", f"with {_RANKED} select section, number from (select section, number, row_number() over (partition by section order by number) as place from ranked) r where place <= 8")
 def _(spark, sf_dir):
     return grade.section_top(_ranked(spark, sf_dir)).select("section", "number")
