@@ -106,8 +106,8 @@ def test_jaccard_shared_line(spark):
     line = "this line is in nearly every document of the table".split()
     texts = [line + [f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 1, 1, 2, 2, 6]))] for _ in range(500)] + [[f"x{i}{j}" for j in range(6)] for i in range(60)]
     rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
-    signed = rows.mapInArrow(jaccard._sign(5, 44), "doc_id long, n_shingles long, sig long, often binary")
-    assert 5 <= len(jaccard._heavy(signed, 4)) <= 32
+    signed = rows.mapInArrow(jaccard._sign(5, 4), "doc_id long, n_shingles long, sig long, sig2 long, often binary")
+    assert 5 <= len(jaccard._heavy(signed, signed.agg(F.sum("n_shingles")).first()[0], 4)) <= 8 << 4
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
     root = list(range(len(sets)))
 

@@ -32,7 +32,8 @@ from . import wordstream as ws
 CAPACITY = 2048
 #: Of these (large lengths are above capacity / the first; groups), the plan with the fewest sequences is taken.
 GROUPINGS = ((2, 32), (3, 32), (4, 64), (8, 64))
-SPREAD = 64
+#: Pieces of one length are numbered in cells of about so many.
+CELL = 100_000
 CLOSING_ID = 0
 
 # --- token ids ------------------------------------------------------------------------------------------------------
@@ -64,7 +65,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class WordIds:
-    """Token ids of stretches of text, kept in a table by their hash."""
+    """Token ids of stretches of text, kept in a table by their hash; a check beside it tells apart what one hash holds."""
 
     SLOTS, MOST_IDS, JOIN = 22, 12_000_000, 1 << 15
 
@@ -73,12 +74,13 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.key = np.zeros(1 << self.SLOTS, np.uint64)
+        self.check = np.zeros(1 << self.SLOTS, np.uint64)
         self.at = np.zeros(1 << self.SLOTS, np.int32)
         self.n = np.zeros(1 << self.SLOTS, np.int32)
         self.clear()
 
     def clear(self) -> None:
-        self.key[:] = 0
+        self.key[:], self.check[:] = 0, 0
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 1
         self.ids[0] = CLOSING_ID
 
@@ -99,16 +101,19 @@ class WordIds:
             i = j
         return np.concatenate(ids), np.concatenate(counts)
 
-    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's ids begin in ``self.ids``, and how many there are."""
         if self.used > self.MOST_IDS:
             self.clear()
+        hashes, checks = ws.word_hashes(data, starts, ends, fold), ws.word_checks(data, starts, ends, fold)
         slot = hashes >> np.uint64(64 - self.SLOTS)
-        missing = np.flatnonzero(self.key[slot] != hashes)
+        missing = np.flatnonzero((self.key[slot] != hashes) | (self.check[slot] != checks))
         at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
         if len(missing):
-            new, index, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            where = missing[index]
+            order = missing[np.lexsort((checks[missing], hashes[missing]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+            where, back = order[first], np.cumsum(first) - 1
             raw = data.tobytes()
             ids, counts = self._encode([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
             if self.used + len(ids) > len(self.ids):
@@ -116,9 +121,9 @@ class WordIds:
             begin = self.used + np.concatenate(([0], np.cumsum(counts)[:-1]))
             self.ids[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            at[missing], n[missing] = begin[back], counts[back]
-            slot = new >> np.uint64(64 - self.SLOTS)
-            self.key[slot], self.at[slot], self.n[slot] = new, begin, counts
+            at[order], n[order] = begin[back], counts[back]
+            slot = hashes[where] >> np.uint64(64 - self.SLOTS)
+            self.key[slot], self.check[slot], self.at[slot], self.n[slot] = hashes[where], checks[where], begin, counts
         return at, n
 
 
@@ -137,7 +142,7 @@ def _pieces(path: str, capacity: int):
             for lo, hi in ws.slices(offsets):
                 part, cut = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, first, fold = units(part, cut)
-                at, n = table.find(ws.word_hashes(part, starts, ends, fold), part, starts, ends)
+                at, n = table.find(part, starts, ends, fold)
                 at, n = np.insert(at, first[1:], 0), np.insert(n, first[1:], 1)  # the closing id ends each document
                 total = np.concatenate(([0], np.cumsum(n)))
                 ids = table.ids[np.repeat(at - total[:-1], n) + np.arange(total[-1])].astype("<u4")
@@ -299,9 +304,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ws.tune(spark)
     kinds = "doc_id long, piece int, start long, length int, ids_crc32 long"
     pieces = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, capacity), kinds), "pieces")
-    dealt = pieces.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SPREAD)))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    spread = max(1, -(-max(histogram.values(), default=0) // CELL))
+    dealt = pieces.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)))
     cells = dealt.groupBy("length", "_cell").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = min((Plan(histogram, capacity, large, groups) for large, groups in GROUPINGS), key=lambda p: p.sequences)
     if not plan.rows:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})

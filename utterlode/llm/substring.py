@@ -1,16 +1,22 @@
 """Substring dedup by seed and extend.
 
-1. *Seeds.* Every run of ``span`` words is represented by its anchor: the smallest hash among its ``seed_words``-grams
-   (winnowing), so equal runs have equal anchors and a document keeps about ``2 / (span - seed_words + 2)`` anchors a
-   word. Anchors meet in hash buckets; those that only one document holds end there.
-2. *Extension.* Around each shared anchor a document extends the match to the left and to the right, word by word, as
-   far as the runs of ``span`` words that the anchor stands for reach. The runs meet again by 64 + bucket bits of hash,
-   and every run that a document with a smaller id also holds counts as repeated. Adjoining repeated runs merge to
-   maximal repeats of at least ``span`` words.
-3. *Cut.* Words inside a repeat go.
-
-No pairs of documents are formed. Before either shuffle a task folds what its own documents share (one entry for each
-hash and task), so a passage that a third of all documents holds sends one entry a task, not one a document.
+1. *Seeds.* Every run of ``span`` words is represented by its anchor: the first of the least hashes among its
+   ``seed_words``-grams (winnowing), so equal runs have equal anchors at equal places, and a document keeps about
+   ``2 / (span - seed_words + 2)`` anchors a word. Anchors meet in hash buckets; those that only one document holds end there.
+2. *Join and extension.* Documents are joined on the anchors that they share: each occurrence goes to its anchor's bucket
+   with the words beside it, ``span - seed_words`` to the left and as many to the right, held by 32 bits each. There the
+   match is extended word by word to the left, for each extension to the left as far to the right as makes ``span`` words,
+   and an extension counts as repeated if the same words stand around the anchor in a document with a smaller id. It is
+   decided for all occurrences of an anchor at once, by sorting them by the words in question and comparing neighbours
+   word by word; no pairs of documents are formed.
+3. *Maximal repeats.* Extensions of neighbouring anchors overlap; their union are the maximal repeats of at least ``span``
+   words, which are cut.
+
+Before either shuffle a task folds what its own documents share (one entry for each anchor, context and task), so a
+passage that a third of all documents holds sends one entry a task, not one a document. An anchor with more than ``HOT``
+occurrences (a common phrase in many different contexts) is dealt by its extensions, not by itself: an occurrence then
+sends an entry for each extension, with only the words of that one. The number of buckets and tasks follows the bytes of
+text.
 
 Edge cases: a null text has no words and stays null; texts shorter than ``span`` words are never cut; rows with a null
 id are returned uncut and cut nothing; rows with one and the same id never cut each other; input columns that clash with
@@ -26,24 +32,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.durable import saved
 from . import wordstream as ws
 
 SPAN = 13
 SEED_WORDS = 5
-#: Entries that a task folds together before it sends them on.
-FLUSH = 1_000_000
+#: Entries that a task folds together before it sends them on: anchors, and anchors with their contexts.
+FLUSH, CONTEXTS = 1_000_000, 200_000
+#: Occurrences (one a document) beyond which an anchor is dealt by its extensions.
+HOT = 20_000
+#: Bytes of text for each hash bucket.
+BUCKET_BYTES = 12 << 20
 ADDED = ("n_words", "n_removed", "repeats")
 
 
 def _anchors(words: np.ndarray, first: np.ndarray, seed_words: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of ``span`` words: its anchor's hash, and whether it lies within one text."""
+    """Where the anchors stand, each once, and their hashes."""
     grams = ws.gram_hashes(words, seed_words)
-    n = len(words) - span + 1
-    best = grams[: max(0, n)].copy()
+    n = max(0, len(words) - span + 1)
+    best, place = grams[:n].copy(), np.arange(n)
     for j in range(1, span - seed_words + 1):
-        np.minimum(best, grams[j : j + len(best)], out=best)
-    return best, ws.whole_grams(first, span)
+        less = grams[j : j + n] < best
+        best[less] = grams[j : j + n][less]
+        place[less] = np.flatnonzero(less) + j
+    place = place[ws.whole_grams(first, span)]
+    place = place[ws.runs(place)]
+    return place, grams[place]
 
 
 def _owners(first: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -68,17 +84,16 @@ def _seed_map(bits: int, seed_words: int, span: int):
         hashes, docs = hashes[order], docs[order]
         at = ws.runs(hashes)
         least, most = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
-        shared = least != most
-        # what is shared within the task is answered here
-        here = np.repeat(shared, np.diff(np.append(at, len(hashes))))
-        rows = ws.answers(bits, keys[docs[here]], hashes[here])
+        many = np.diff(np.append(at, len(hashes)))
+        many[least == most] = 1  # one document, however often it holds the anchor
+        # one document stands for all that share an anchor here; the bucket's answer reaches the others by the task's own
         sent = hashes[at]
         buckets = (sent >> low).astype(np.int64)
-        edges = np.searchsorted(buckets, np.arange((1 << bits) + 1))
-        for bucket in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[bucket], edges[bucket + 1]
+        here = np.repeat(least != most, np.diff(np.append(at, len(hashes))))
+        rows = ws.answers(bits, keys[docs[here]], hashes[here])
+        for a, b in ws.ranges(ws.runs(buckets), len(buckets)):
             names, index = np.unique(least[a:b], return_inverse=True)
-            rows.append((bucket, False, ws.pack(sent[a:b].astype(np.uint32), index.astype(np.uint32 if len(names) > 65535 else np.uint16), keys[names], np.packbits(shared[a:b]))))
+            rows.append((int(buckets[a]), False, ws.pack(sent[a:b].astype(np.uint32), index.astype(np.uint32 if len(names) > 65535 else np.uint16), keys[names], np.minimum(many[a:b], 65535).astype(np.uint16))))
         yield ws.dealt(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,17 +101,12 @@ def _seed_map(bits: int, seed_words: int, span: int):
         for batch in batches:
             row_keys = batch.column("row_key").to_numpy(zero_copy_only=False)
             for lo, hi, part, _, starts, ends, first in _texts(batch, "text"):
-                best, whole = _anchors(ws.word_hashes(part, starts, ends), first, seed_words, span)
-                at = np.flatnonzero(whole)
-                kept = best[at] >> shift
-                owner = _owners(first, at)
-                new = np.ones(len(at), bool)
-                new[1:] = (kept[1:] != kept[:-1]) | (owner[1:] != owner[:-1])
-                hashes.append(kept[new])
-                docs.append((owner[new] + known).astype(np.int64))
+                at, grams = _anchors(ws.word_hashes(part, starts, ends), first, seed_words, span)
+                hashes.append(grams >> shift)
+                docs.append(_owners(first, at) + known)
                 keys.append(row_keys[lo:hi])
                 known += hi - lo
-                size += int(new.sum())
+                size += len(at)
                 if size >= FLUSH:
                     yield from flush(np.concatenate(hashes), np.concatenate(docs), np.concatenate(keys))
                     hashes, docs, keys, size, known = [], [], [], 0, 0
@@ -107,6 +117,8 @@ def _seed_map(bits: int, seed_words: int, span: int):
 
 
 def _seed_reduce(bits: int):
+    """Back to documents go the anchors that several hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in ws.buckets(batches):
             if bucket is None:
@@ -114,39 +126,78 @@ def _seed_reduce(bits: int):
                 continue
             low = np.concatenate([b[0] for b in blobs])
             keys = np.concatenate([b[2][b[1]] for b in blobs])
-            flagged = np.concatenate([np.unpackbits(b[3], count=len(b[0])).astype(bool) for b in blobs])
+            many = np.concatenate([b[3] for b in blobs]).astype(np.int64)
             order = np.argsort(low, kind="stable")
-            low, keys, flagged = low[order], keys[order], flagged[order]
+            low, keys, many = low[order], keys[order], many[order]
             at = ws.runs(low)
-            shared = (np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)) | np.logical_or.reduceat(flagged, at)
-            here = np.repeat(shared, np.diff(np.append(at, len(low))))
-            yield ws.dealt(ws.answers(bits, keys[here], low[here].astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))))
+            total = np.add.reduceat(many, at)
+            size = np.diff(np.append(at, len(low)))
+            here = np.repeat((np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)) | (total > size), size)
+            anchors = low.astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))
+            rows = ws.answers(bits, keys[here], anchors[here])
+            for a in np.flatnonzero(total > HOT).tolist():
+                rows.append((-1, True, ws.pack(anchors[at[a] : at[a] + 1].view(np.int64))))
+            yield ws.dealt(rows)
 
     return run
 
 
 # --- extension ------------------------------------------------------------------------------------------------------
 
-def _extend_map(bits: int, seed_words: int, span: int, id_col: str, text_col: str):
-    shift, low = np.uint64(32 - bits), np.uint64(64 - bits)
+def _same(*columns: np.ndarray) -> np.ndarray:
+    """Which rows equal the row before them."""
+    same = np.zeros(len(columns[0]), bool)
+    same[1:] = np.logical_and.reduce([(c[1:] == c[:-1]) if c.ndim == 1 else (c[1:] == c[:-1]).all(axis=1) for c in columns])
+    return same
+
+
+def _mixed(anchors: np.ndarray, context: np.ndarray) -> np.ndarray:
+    out = anchors.copy()
+    for j in range(context.shape[1]):
+        out = ws.mix64((out ^ context[:, j]) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def _context(words: np.ndarray, first: np.ndarray, at: np.ndarray, seed_words: int, reach: int) -> np.ndarray:
+    """32 bits of each of the words beside anchors, 0 beyond the text: the nearest on the left first, then on the right."""
+    owner = _owners(first, at)
+    out = np.zeros((len(at), 2 * reach), np.uint32)
+    short = (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    for j in range(reach):
+        for column, place, inside in ((j, at - 1 - j, at - 1 - j >= first[owner]), (reach + j, at + seed_words + j, at + seed_words + j < first[owner + 1])):
+            out[inside, column] = short[place[inside]]
+    return out
+
+
+def _extend_map(bits: int, seed_words: int, span: int, hot: np.ndarray, id_col: str, text_col: str):
+    shift, reach = np.uint64(32 - bits), span - seed_words
     spread = 0x9E3779B97F4A7C15
 
-    def flush(hashes, buckets, docs, positions, ids, keys) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((hashes, buckets))
-        hashes, buckets, docs, positions = hashes[order], buckets[order], docs[order], positions[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (buckets[1:] != buckets[:-1])
-        at = np.flatnonzero(new)
-        held_by = ids[docs]
-        least = np.repeat(np.minimum.reduceat(held_by, at), np.diff(np.append(at, len(hashes))))
-        repeated = held_by > least
-        rows = ws.answers(bits, keys[docs[repeated]], held_by[repeated], positions[repeated])
-        hashes, buckets, docs, positions = hashes[~repeated], buckets[~repeated], docs[~repeated], positions[~repeated]
-        edges = np.searchsorted(buckets, np.arange((1 << bits) + 1))
-        for bucket in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[bucket], edges[bucket + 1]
+    def flush(anchors, context, docs, places, ids, keys) -> Iterator[pa.RecordBatch]:
+        """Folds equal contexts of an anchor: documents after the first are answered here, whatever the extension."""
+        if len(hot):
+            known = hot[np.minimum(np.searchsorted(hot, anchors >> shift), len(hot) - 1)] == anchors >> shift
+            parts = [(anchors[~known], context[~known], docs[~known], places[~known])]
+            for left in range(reach + 1):
+                one = np.zeros((int(known.sum()), 2 * reach), np.uint32)
+                used = [*range(left), *range(reach, 2 * reach - left)]
+                one[:, used] = context[known][:, used]
+                whole = (one[:, used] != 0).all(axis=1)
+                parts.append((_mixed(anchors[known], one)[whole], one[whole], docs[known][whole], places[known][whole]))
+            anchors, context, docs, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        buckets = (anchors >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        held_by, key = ids[docs], _mixed(anchors, context)
+        order = np.lexsort((held_by, key, buckets))
+        anchors, context, docs, places, buckets, held_by, key = (x[order] for x in (anchors, context, docs, places, buckets, held_by, key))
+        at = np.flatnonzero(~_same(key, anchors, context))
+        least = np.repeat(held_by[at], np.diff(np.append(at, len(key))))
+        later = held_by > least
+        every = _available(context[later], reach)
+        rows = ws.answers(bits, keys[docs[later]], held_by[later], (places[later].astype(np.uint64) << np.uint64(16)) | every)
+        anchors, context, docs, places, buckets = (x[~later] for x in (anchors, context, docs, places, buckets))
+        for a, b in ws.ranges(ws.runs(buckets), len(buckets)):
             names, index = np.unique(docs[a:b], return_inverse=True)
-            rows.append((bucket, False, ws.pack(hashes[a:b], index.astype(np.uint32 if len(names) > 65535 else np.uint16), ids[names], keys[names], positions[a:b])))
+            rows.append((int(buckets[a]), False, ws.pack(anchors[a:b], context[a:b].ravel(), index.astype(np.uint32 if len(names) > 65535 else np.uint16), ids[names], keys[names], places[a:b])))
         yield ws.dealt(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +209,17 @@ def _extend_map(bits: int, seed_words: int, span: int, id_col: str, text_col: st
             seeds = batch.column("_seeds")
             for lo, hi, part, _, starts, ends, first in _texts(batch, text_col):
                 words = ws.word_hashes(part, starts, ends)
-                best, whole = _anchors(words, first, seed_words, span)
-                at = np.flatnonzero(whole)
+                at, grams = _anchors(words, first, seed_words, span)
                 owner = _owners(first, at)
                 wanted = [np.frombuffer(seeds[i].as_buffer(), np.uint64) + np.uint64((i - lo) * spread & (1 << 64) - 1) for i in range(lo, hi)]
-                at = at[np.isin((best[at] >> shift) + owner.astype(np.uint64) * np.uint64(spread), np.concatenate(wanted))]
-                owner = _owners(first, at)
-                deal = (ws.gram_hashes(words, span, 1)[at] >> low).astype(np.int32)
-                held.append((ws.gram_hashes(words, span)[at], deal, owner + known, (at - first[owner]).astype(np.uint32), ids[lo:hi], keys[lo:hi]))
-                known += hi - lo
+                shared = np.isin((grams >> shift) + owner.astype(np.uint64) * np.uint64(spread), np.concatenate(wanted))
+                at, grams, owner = at[shared], grams[shared], owner[shared]
+                for i in range(0, len(at), CONTEXTS):
+                    some = slice(i, i + CONTEXTS)
+                    held.append((grams[some], _context(words, first, at[some], seed_words, reach), owner[some] + known, (at[some] - first[owner[some]]).astype(np.uint32), ids[lo:hi] if i == 0 else ids[:0], keys[lo:hi] if i == 0 else keys[:0]))
+                known += hi - lo if len(at) else 0
                 size += len(at)
-                if size >= FLUSH:
+                if size >= CONTEXTS:
                     yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, size, known = [], 0, 0
         if size:
@@ -177,21 +228,47 @@ def _extend_map(bits: int, seed_words: int, span: int, id_col: str, text_col: st
     return run
 
 
-def _extend_reduce(bits: int):
+def _available(context: np.ndarray, reach: int) -> np.ndarray:
+    """Of each occurrence: the extensions (bit ``l``: ``l`` words to the left) for which its text has words enough."""
+    out = np.zeros(len(context), np.uint64)
+    for left in range(reach + 1):
+        out |= (context[:, [*range(left), *range(reach, 2 * reach - left)]] != 0).all(axis=1).astype(np.uint64) << np.uint64(left)
+    return out
+
+
+def _extend_reduce(bits: int, reach: int):
+    def answer(blobs: list[list[np.ndarray]]) -> pa.RecordBatch:
+        anchors = np.concatenate([b[0] for b in blobs])
+        context = np.concatenate([b[1].reshape(-1, 2 * reach) for b in blobs])
+        ids = np.concatenate([b[3][b[2]] for b in blobs])
+        keys = np.concatenate([b[4][b[2]] for b in blobs])
+        places = np.concatenate([b[5] for b in blobs])
+        blobs.clear()
+        order = np.argsort(anchors, kind="stable")
+        anchors = anchors[order]
+        at = ws.runs(anchors)
+        size = np.diff(np.append(at, len(anchors)))
+        several = np.repeat(np.minimum.reduceat(ids[order], at) != np.maximum.reduceat(ids[order], at), size)
+        order, anchors = order[several], anchors[several]
+        context, ids, keys, places = context[order], ids[order], keys[order], places[order]
+        available, found = _available(context, reach), np.zeros(len(anchors), np.uint64)
+        for left in range(reach + 1):
+            some = np.flatnonzero(available & np.uint64(1 << left))
+            if not len(some):
+                continue
+            used = context[some][:, [*range(left), *range(reach, 2 * reach - left)]]
+            key = _mixed(anchors[some], used)
+            order = np.lexsort((ids[some], key))
+            some, used, key = some[order], used[order], key[order]
+            at = np.flatnonzero(~_same(key, anchors[some], used))
+            least = np.repeat(ids[some][at], np.diff(np.append(at, len(some))))
+            found[some[ids[some] > least]] |= np.uint64(1 << left)
+        hit = found > 0
+        return ws.dealt(ws.answers(bits, keys[hit], ids[hit], (places[hit].astype(np.uint64) << np.uint64(16)) | found[hit]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in ws.buckets(batches):
-            if bucket is None:
-                yield blobs
-                continue
-            hashes = np.concatenate([b[0] for b in blobs])
-            ids = np.concatenate([b[2][b[1]] for b in blobs])
-            keys = np.concatenate([b[3][b[1]] for b in blobs])
-            positions = np.concatenate([b[4] for b in blobs])
-            order = np.argsort(hashes, kind="stable")
-            hashes, ids, keys, positions = hashes[order], ids[order], keys[order], positions[order]
-            at = ws.runs(hashes)
-            repeated = ids > np.repeat(np.minimum.reduceat(ids, at), np.diff(np.append(at, len(hashes))))
-            yield ws.dealt(ws.answers(bits, keys[repeated], ids[repeated], positions[repeated]))
+            yield blobs if bucket is None else answer(blobs)
 
     return run
 
@@ -199,7 +276,13 @@ def _extend_reduce(bits: int):
 # --- cut ------------------------------------------------------------------------------------------------------------
 
 
-def _cut_map(span: int, schema: pa.Schema, text: str):
+def _starts(found: np.ndarray, reach: int) -> np.ndarray:
+    """First words of the repeated runs, from places of anchors and the extensions found."""
+    place = (found >> np.uint64(16)).astype(np.int64)
+    return np.unique(np.concatenate([place[found & np.uint64(1 << left) > 0] - left for left in range(reach + 1)]))
+
+
+def _cut_map(span: int, seed_words: int, schema: pa.Schema, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("_found")
@@ -213,7 +296,7 @@ def _cut_map(span: int, schema: pa.Schema, text: str):
                     if not found[i].is_valid:
                         repeats.append([])
                         continue
-                    where = np.unique(np.frombuffer(found[i].as_buffer(), np.uint32)).astype(np.int64)
+                    where = _starts(np.frombuffer(found[i].as_buffer(), np.uint64), span - seed_words)
                     new = np.ones(len(where), bool)
                     new[1:] = np.diff(where) > span
                     a = where[new]
@@ -252,28 +335,32 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     ws.tune(spark)
-    bits, width = ws.bucket_bits(spark), ws.shuffle_width(spark)
+    size = ws.text_bytes(docs, text_col)
+    bits = ws.bits_for(size, BUCKET_BYTES)
+    width = max(ws.shuffle_width(spark), 1 << bits)
     docs, names = ws.shield(docs.drop(*ADDED), ("_row_key", "_found", "_seeds", "_id"))
     keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
     taking_part = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
 
-    def answered(asked: DataFrame, reduce, names: list[str], blob: str) -> DataFrame:
-        met = asked.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, ws.DEALT_TYPE)
+    def gathered(met: DataFrame, names: list[str], blob: str) -> DataFrame:
         home = met.repartition(width, "bucket").sortWithinPartitions("bucket")
         kinds = ", ".join(f"{n} long" for n in names)
         return home.mapInArrow(ws.gather(*names), f"{kinds}, blob binary").withColumnRenamed("blob", blob)
 
+    def reduced(asked: DataFrame, reduce) -> DataFrame:
+        return asked.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, ws.DEALT_TYPE)
+
     asked = keyed.where(taking_part).select(F.col("_row_key").alias("row_key"), F.col(text_col).alias("text")).mapInArrow(_seed_map(bits, seed_words, span), ws.DEALT_TYPE)
-    seeds = answered(asked, _seed_reduce(bits), ["_row_key"], "_seeds")
+    met = saved(reduced(asked, _seed_reduce(bits)), "anchors")
+    hot = [np.frombuffer(r["blob"], np.uint64)[-1] for r in met.where("bucket < 0").select("blob").collect()]  # at most all anchors / HOT
+    seeds = gathered(met.where("bucket >= 0"), ["_row_key"], "_seeds")
 
     # the texts move once: both joins read this exchange, so neither may prune its columns
     placed = keyed.repartition(width, "_row_key")
-    asked = placed.join(seeds, "_row_key").mapInArrow(_extend_map(bits, seed_words, span, id_col, text_col), ws.DEALT_TYPE)
-    found = answered(asked, _extend_reduce(bits), ["_row_key", "_id"], "_found")
+    asked = placed.join(seeds, "_row_key").mapInArrow(_extend_map(bits, seed_words, span, np.sort(np.array(hot, np.uint64)), id_col, text_col), ws.DEALT_TYPE)
+    found = gathered(reduced(asked, _extend_reduce(bits, span - seed_words)), ["_row_key", "_id"], "_found")
 
     # only the row key is a join key, as above; the id beside it guards against equal hashes
     joined = placed.join(found, (placed["_row_key"] == found["_row_key"]) & (placed[id_col].cast("long") - found["_id"] == 0), "left").drop(found["_row_key"]).drop("_id")
     out = T.StructType([*[f for f in docs.schema.fields], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return joined.drop("_row_key").mapInArrow(_cut_map(span, to_arrow_schema(out), text_col), out).withColumnsRenamed(names)
+    return joined.drop("_row_key").mapInArrow(_cut_map(span, seed_words, to_arrow_schema(out), text_col), out).withColumnsRenamed(names)

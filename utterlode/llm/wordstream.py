@@ -14,18 +14,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE = 1 << 20
 _MASK = (1 << 64) - 1
 
 
-def _give_back_freed_memory() -> None:
+_settled: list[bool] = []
+
+
+def _settle_worker() -> None:
     """Python workers live on between tasks: have them return large freed arrays to the system at once.
 
     By default glibc raises the size from which it maps memory to 32 MB as arrays are freed, and keeps what lies below;
-    Arrow's own pool keeps freed memory too.
+    Arrow's own pool keeps freed memory too. Only done inside a task; the driver's process is left alone.
     """
+    _settled.append(True)
+    if TaskContext.get() is None:
+        return
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         mallopt = ctypes.CDLL(None).mallopt
@@ -36,22 +44,34 @@ def _give_back_freed_memory() -> None:
     mallopt(arena_max, 2)
 
 
-_give_back_freed_memory()
-
-
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get: rows may hold texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Bound the Arrow batches that Python workers get: rows may hold texts of any length.
+
+    Plans run after this returns, so the session keeps these bounds; smaller ones that it has stay.
+    """
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = (spark.conf.get(key) or "").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    """Hash buckets, as a power of two: at least as many as shuffle partitions, so that they grow with the data."""
-    return max(4, (shuffle_width(spark) - 1).bit_length())
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def tasks_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Shuffle partitions so that each gets about ``each`` of ``amount``, and not fewer than the session's."""
+    return max(shuffle_width(spark), -(-amount // each))
+
+
+def bits_for(amount: int, each: int) -> int:
+    """Hash buckets, as a power of two and 16 at least, so that each gets about ``each`` of ``amount``."""
+    return max(4, (-(-amount // each) - 1).bit_length())
 
 
 def shield(df: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
@@ -71,6 +91,8 @@ def shield(df: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[st
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets (one more than rows) of a string or binary column; a null counts as empty."""
+    if not _settled:
+        _settle_worker()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -135,42 +157,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
-_BLOCK = SLICE
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_tables: list[np.ndarray] = []
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same in every process; ``fold`` maps bytes first."""
-    if not _tables:
-        _tables.extend((_powers(_BASE, _BLOCK), _powers(pow(_BASE, -1, 1 << 64), _BLOCK)))
-    power, back = _tables
-    codes = _BYTES if fold is None else _BYTES[fold]
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        origin = starts[at]
-        to = int(np.searchsorted(ends, origin + _BLOCK, side="right"))
-        if to <= at:  # one word beyond the tables
-            word = data[origin : ends[at]] if fold is None else fold[data[origin : ends[at]]]
-            out[at] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
-            at += 1
-            continue
-        run = data[origin : ends[to - 1]]
-        sums = np.zeros(len(run) + 1, np.uint64)
-        np.cumsum(codes[run] * power[: len(run)], out=sums[1:])
-        a, b = starts[at:to] - origin, ends[at:to] - origin
-        out[at:to] = mix64((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
-        at = to
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Of the last lane of a word, the bytes that belong to it.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 1024
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same in every process; ``fold`` maps bytes first.
+
+    Words are taken in lanes of 8 bytes, each mixed non-linearly into the state, so no arrangement of letters cancels
+    out. Words of one length of at most 8 bytes never collide: every step is a bijection.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros((len(data) + 7) // 8 * 8 + 16, np.uint8)
+    padded[: len(data)] = data if fold is None else fold[data]
+    whole, size = padded.view("<u8"), ends - starts
+    out = mix64(size.astype(np.uint64) + np.uint64(seed))
+    at, left, rows = starts, np.where(size > _LONG, 0, size), None
+    while True:
+        lane, turn = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        here = ((whole[lane] >> turn) | ((whole[lane + 1] << np.uint64(1)) << (np.uint64(63) - turn))) & _TAIL[np.minimum(left, 8)]
+        if rows is None:
+            out = mix64((out ^ here) * _ODD)
+        else:
+            out[rows] = mix64((out[rows] ^ here) * _ODD)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        at, left, rows = at[more] + 8, left[more] - 8, more if rows is None else rows[more]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def word_checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """With ``word_hashes``, tells words apart: the length of those of at most 8 bytes, a second 64-bit hash of others."""
+    out = ends - starts
+    long_ = np.flatnonzero(out > 8)
+    out = out.astype(np.uint64)
+    out[long_] = word_hashes(data, starts[long_], ends[long_], fold, seed=0x5851F42D4C957F2D) | np.uint64(1 << 63)
     return out
 
 
@@ -266,25 +294,28 @@ def gather(*names: str):
     """Brings the answers of each row together: the columns that name it, and its entries packed as ``blob``."""
     schema = pa.schema([*((n, pa.int64()) for n in names), ("blob", pa.binary())])
 
-    def by_row(blobs: list[list[np.ndarray]]) -> pa.RecordBatch:
+    def by_row(blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*blobs, strict=True)]
         order = np.lexsort(columns[: len(names)])
         columns = [c[order] for c in columns]
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[: len(names)]])
         cuts = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([*(pa.array(c[cuts]) for c in columns[: len(names)]), pa.array([columns[-1][a:b].tobytes() for a, b in ranges(cuts, len(order))], pa.binary())], schema=schema)
+        found = list(ranges(cuts, len(order)))
+        for i in range(0, len(cuts), 1000):
+            some = cuts[i : i + 1000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in columns[: len(names)]), pa.array([columns[-1][a:b].tobytes() for a, b in found[i : i + 1000]], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for group, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
                 if group != now and held:
-                    yield by_row(held)
+                    yield from by_row(held)
                     held = []
                 now = group
                 held.append(unpack(blob.as_buffer().to_pybytes()))
         if held:
-            yield by_row(held)
+            yield from by_row(held)
 
     return run
