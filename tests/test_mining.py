@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from utterlode import cli
 from utterlode.functions import text as t
-from utterlode.operators import clusters, embedding, extract, grade, neardup, synthesis
+from utterlode.operators import clusters, components, embedding, grade, neardup, synthesis
 from utterlode.operators.components import connected_components
 from utterlode.plans.durable import saved
+from utterlode.plans.numbering import numbered
 from utterlode.sources import report, sessions
 
 
@@ -51,15 +52,131 @@ def test_extract_and_cli(spark, tmp_path):
     (folder / "1.jsonl").write_text("\n".join(lines), encoding="utf-8")
     (tmp_path / "sessions" / "lone.jsonl").write_text(json.dumps(SESSION[1]), encoding="utf-8")
     counts = cli.run_extract(spark, str(tmp_path / "sessions"), tmp_path / "out")
-    assert counts == {"files": 2, "utterances": 1, "projects": 1, "skipped_no_session": 1, "skipped_empty": 1, "skipped_slash": 1, "skipped_confirm": 1, "malformed": 2}
+    assert {k: v for k, v in counts.items() if isinstance(v, int)} == {"session_file_count": 2, "utterance_count": 1, "project_count": 1, "skipped_no_session": 1, "skipped_empty": 1, "skipped_slash": 1, "skipped_confirm": 1, "skipped_malformed": 2}
+    assert counts["output_path"] == str(tmp_path / "out" / "utterances.jsonl")
     rows = sessions.read_utterances(spark, str(tmp_path / "out" / "utterances.jsonl")).collect()
     assert [(r["text"], r["project_key"], r["cwd"], r["char_len"]) for r in rows] == [("a\nbc", "proj", "/Users/me/demo", 4)]
     summary = cli.run_mine(spark, tmp_path / "out", 1, 1)
     assert summary["phrase_count"] == summary["cluster_count"] == summary["candidate_count"] == 1
+    assert summary["fork_duplicate_count"] == 0 and summary["persona_path"] == str(tmp_path / "out" / "persona.md")
+    assert "fork_duplicate_count: 0" in cli.lines("mine", summary) and cli.lines("mine", summary)[-1].startswith("persona: ")
     assert "# 资产候选" in (tmp_path / "out" / "candidates.md").read_text(encoding="utf-8")
     result = cli.run_synthesize(spark, tmp_path / "out", lambda s, u: '```json\n{"conclusions": [{"statement": "x", "evidence": [1, 9]}, {"statement": ""}], "summary": [{"statement": "y", "evidence": [1]}]}\n```', "m")
     assert (result["conclusions"][0]["count"], result["dropped_count"], result["summary"][0]["evidence"]) == (1, 1, [1])
+    assert "簇合计" in (tmp_path / "out" / "conclusions.md").read_text(encoding="utf-8").splitlines()[3]
+    assert cli.lines("synthesize", result)[3:6] == ["summary_count: 1", "conclusion_count: 1", "dropped_count: 1"]
     assert cli.main(["status", "--out", str(tmp_path / "none")]) == 0 and cli.main(["mine", "--out", str(tmp_path / "none")]) == 1
+    state = sessions.status(tmp_path / "out", cli.FILES)
+    assert state["out_dir_exists"] and state["files"]["persona"]["exists"] and not state["files"]["embeddings"]["exists"] and len(state["files"]) == 7
+
+
+def test_cli_refuses(tmp_path, monkeypatch, capsys):
+    for name in ("UTTERLODE_EMBEDDING_BASE_URL", "UTTERLODE_EMBEDDING_API_KEY", "UTTERLODE_EMBEDDING_MODEL", "UTTERLODE_CHAT_BASE_URL", "UTTERLODE_CHAT_API_KEY", "UTTERLODE_CHAT_MODEL"):
+        monkeypatch.delenv(name, raising=False)
+    assert cli.main(["mine", "--embedding", "--out", str(tmp_path)]) == 1 and "UTTERLODE_EMBEDDING_BASE_URL" in capsys.readouterr().err
+    assert cli.main(["synthesize", "--out", str(tmp_path)]) == 1 and "UTTERLODE_CHAT_API_KEY" in capsys.readouterr().err
+    for bad in ("0", "-1", "x"):
+        with pytest.raises(SystemExit):
+            cli.main(["mine", "--min-count", bad, "--out", str(tmp_path)])
+
+
+def test_hidden_files_and_bare_tokens(spark, tmp_path):
+    """Files that Spark passes over are read; NaN outside strings is a null, inside them it stays."""
+    (tmp_path / "s" / ".p x").mkdir(parents=True)
+    said = {"type": "message", "id": "e1", "timestamp": "", "message": {"role": "user", "content": 'NaN "quoted" -Infinity'}}
+    head = json.dumps(SESSION[0])
+    (tmp_path / "s" / "_a.jsonl").write_text("\n".join([head, json.dumps(said | {"cost": float("nan"), "other": [float("-inf")]})]), encoding="utf-8")
+    (tmp_path / "s" / ".p x" / "b%20.jsonl").write_text("\n".join([head, json.dumps(said)]), encoding="utf-8")
+    (tmp_path / "s" / "c.jsonl").write_bytes("\n".join([head, json.dumps(said), "{NaN"]).encode() + b"\xff")
+    counts = cli.run_extract(spark, str(tmp_path / "s"), tmp_path / "out")
+    assert (counts["session_file_count"], counts["utterance_count"], counts["skipped_malformed"], counts["project_count"]) == (3, 3, 1, 3)
+    rows = [json.loads(line) for line in (tmp_path / "out" / "utterances.jsonl").read_text(encoding="utf-8").splitlines()]
+    assert [r["source_file"] for r in rows] == [".p x/b%20.jsonl", "_a.jsonl", "c.jsonl"] and {r["text"] for r in rows} == {said["message"]["content"]}
+    utterances = sessions.read_utterances(spark, str(tmp_path / "out" / "utterances.jsonl")).withColumn("seq", F.monotonically_increasing_id())
+    sessions.write_utterances(utterances, str(tmp_path / "parts"), parts=True)
+    assert sorted(r["source_file"] for r in sessions.read_utterances(spark, str(tmp_path / "parts")).collect()) == sorted(r["source_file"] for r in rows)
+
+
+def test_space_of_python(spark):
+    """The separators of ASCII are white space."""
+    assert column(spark, ["\x1c a\x1d\x1eb \x1f"], t.strip) == ["a\x1d\x1eb"]
+    assert column(spark, ["\x1c A\x1d\x1eb \x1f!", "\x1c Ä\x1d\x1eb \x1f!"], t.normalize_key) == ["a b", "ä b"]
+    assert column(spark, ["/go\x1fx", "/a\x1fb"], t.is_bare_path) == [False, False] and column(spark, ["/go\x1fx"], t.is_slash_command) == [True]
+    texts = ["", " ", "a", "_a_b_", "$x+", "A\tB\x0bC", "~tilde~", "`q`", "¿Qué?", "ﬁne", "İ", "ß"]
+    import unicodedata
+
+    import regex
+
+    noise = regex.compile(r"\A[\p{P}\p{S}\p{Z}]+|[\p{P}\p{S}\p{Z}]+\Z")
+    assert column(spark, texts, t.normalize_key) == [noise.sub("", " ".join(unicodedata.normalize("NFKC", v).casefold().split())) for v in texts]
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("v"))
+    got = sorted((r["v"], r["n"]) for r in numbered(rows, [F.desc("v")], "n", start=1).collect())
+    assert [n for _, n in got] == list(range(1000, 0, -1))
+    assert numbered(rows.limit(0), [F.desc("v")], "n").count() == 0
+
+
+def test_components_spread(spark, monkeypatch):
+    """Hubs and large components beyond what one task should hold."""
+    monkeypatch.setattr(components, "FEW", 0)
+    test_components_against_union_find(spark)
+    star = [(5, i) for i in range(6, 300)] + [(1000 + i, 1001 + i) for i in range(9)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(star, "src long, dst long")).collect()}
+    assert got == {n: 5 if n < 1000 else 1000 for e in star for n in e}
+
+
+def test_mine_by_embedding(spark, tmp_path):
+    """Phrases that only their vectors bring together form one candidate."""
+    said = ["alpha one", "completely different words", "third thing"]
+    lines = [{"utterance_id": f"u{i}", "session_id": "s", "entry_id": f"e{i}", "timestamp": f"2024-01-01T00:00:{i:02}", "cwd": "", "project_key": f"p{i % 3}", "text": said[i % 3], "char_len": 1, "source_file": "f"} for i in range(9)]
+    (tmp_path / "utterances.jsonl").write_text("\n".join(map(json.dumps, lines)), encoding="utf-8")
+    fetcher = lambda batch: [[0.0, 2.0] if x == said[2] else [3.0, 0.1 * len(x) / 30] for x in batch]
+    summary = cli.run_mine(spark, tmp_path, 3, 3, fetcher, "m", 2)
+    assert (summary["cluster_backend"], summary["phrase_count"], summary["cluster_count"], summary["candidate_count"]) == ("embedding", 3, 2, 2)
+    assert json.loads((tmp_path / "candidates.json").read_text(encoding="utf-8"))["candidates"][0]["count"] == 6
+    assert cli.run_mine(spark, tmp_path, 3, 3)["cluster_count"] == 3
+    assert sessions.status(tmp_path, cli.FILES)["files"]["embeddings"]["size"] > 0
+
+
+def test_retries():
+    import io
+    import urllib.error
+
+    from utterlode.sources.remote import retried
+
+    def failing(codes):
+        left = list(codes)
+
+        def call():
+            if left:
+                raise urllib.error.HTTPError("u", left.pop(0), "m", {}, io.BytesIO(b"why"))
+            return {"ok": True}
+
+        return call
+
+    waits = []
+    assert retried(failing([429, 503]), RuntimeError, 4, waits.append) == {"ok": True} and waits == [2.0, 4.0]
+    with pytest.raises(RuntimeError, match="HTTP 400 why"):
+        retried(failing([400]), RuntimeError, 4, waits.append)
+    with pytest.raises(RuntimeError, match="HTTP 500"):
+        retried(failing([500] * 9), RuntimeError, 3, waits.append)
+
+
+def test_saved_tables_need_a_shared_folder(spark, monkeypatch):
+    from utterlode.plans import durable
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        durable.shared_folder(Elsewhere())
+    table = saved(spark.range(3), "t")
+    assert table.count() == 3 and durable.own_folder(spark) in table._utterlode_path
+    durable.discard(table)
+    assert not (tmp := __import__("pathlib").Path(table._utterlode_path.removeprefix("file://"))).exists(), tmp
 
 
 def test_replaced_keeps_the_old_file(tmp_path):
@@ -126,12 +243,36 @@ def test_embed_uses_its_cache(spark, tmp_path):
     texts = spark.createDataFrame([(0, "a"), (1, "bb"), (2, "a")], "ord long, text string")
     fetcher = lambda batch: [[float(len(x)), 1.0] for x in batch]
     first = embedding.embed(texts, fetcher, "m", str(tmp_path / "cache")).orderBy("ord").collect()
-    assert [list(r["vector"]) for r in first] == [[1.0, 1.0], [2.0, 1.0], [1.0, 1.0]]
+    assert [[round(v, 6) for v in r["vector"]] for r in first] == [[0.707107, 0.707107], [0.894427, 0.447214], [0.707107, 0.707107]]
 
     def fail(batch):
         raise AssertionError
 
     assert embedding.embed(texts, fail, "m", str(tmp_path / "cache")).count() == 3
+    with pytest.raises(embedding.EmbeddingError):  # another size of vector is another key
+        embedding.embed(texts, fail, "m", str(tmp_path / "cache"), 7)
+
+
+def test_embed_keeps_what_came(spark, tmp_path):
+    """A batch that fails is told after the others are kept; the next run asks only for what is missing."""
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "ord long, text string").repartition(1)
+    asked = str(tmp_path / "asked")
+
+    def fetcher(batch):
+        with open(asked, "a") as log:
+            log.write(f"{len(batch)}\n")
+        if "text 7" in batch and not __import__("os").path.exists(asked + ".mended"):
+            raise OSError("no answer")
+        return [[1.0, 2.0] for _ in batch]
+
+    with pytest.raises(embedding.EmbeddingError, match="no answer"):
+        embedding.embed(texts, fetcher, "m", str(tmp_path / "cache"))
+    kept = spark.read.parquet(str(tmp_path / "cache")).count()
+    assert 0 < kept < 300
+    (tmp_path / "asked.mended").write_text("")
+    (tmp_path / "asked").write_text("")
+    assert embedding.embed(texts, fetcher, "m", str(tmp_path / "cache")).count() == 300
+    assert sum(int(n) for n in (tmp_path / "asked").read_text().split()) == 300 - kept
 
 
 def test_replies():

@@ -1,7 +1,7 @@
 """Scalar functions and predicates on utterances, as columns.
 
-Patterns use ``(?U)`` so that classes are Unicode ones. Only ``normalize_key`` needs Python: Spark has neither NFKC nor
-case folding.
+Patterns use ``(?U)`` so that classes are Unicode ones. Only ``normalize_key`` of texts beyond ASCII needs Python: Spark
+has neither NFKC nor case folding.
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ from pyspark.sql.types import StringType
 from . import fixed as x
 
 
+#: White space as Python has it: the Unicode property, and the four separators of ASCII.
+SPACE, INK = r"[\s\x1C-\x1F]", r"[^\s\x1C-\x1F]"
+NOISE = r"\A[\p{P}\p{S}\p{Z}]+|[\p{P}\p{S}\p{Z}]+\z"
+
+
 @F.pandas_udf(StringType())
-def normalize_key(text: pd.Series) -> pd.Series:
-    """NFKC and case folding, white space collapsed, punctuation, symbols and separators stripped at both ends."""
+def _normalize_any(text: pd.Series) -> pd.Series:
     import unicodedata
 
     import regex
@@ -31,17 +35,27 @@ def normalize_key(text: pd.Series) -> pd.Series:
     return text.map(key)
 
 
+def normalize_key(c: Column | str) -> Column:
+    """NFKC and case folding, white space collapsed, punctuation, symbols and separators stripped at both ends.
+
+    ASCII texts stay in the JVM; the others alone reach a Python worker.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    ascii_only = c.rlike(r"\A\p{ASCII}*\z")
+    return F.when(ascii_only, F.regexp_replace(F.lower(collapse(c)), NOISE, "")).otherwise(_normalize_any(F.when(~ascii_only, c)))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(strip(c), r"(?U)\s+", " ")
+    return F.regexp_replace(strip(c), rf"(?U){SPACE}+", " ")
 
 
 def mask_params(c: Column, path: str, number: str) -> Column:
     """Paths, then numbers, become tokens; a text that would only hold tokens stays as it is."""
-    masked = F.regexp_replace(F.regexp_replace(c, r"(?U)\S*/\S*", path), r"(?U)\d+(?:[.:\-]\d+)*", number)
+    masked = F.regexp_replace(F.regexp_replace(c, rf"(?U){INK}*/{INK}*", path), r"(?U)\d+(?:[.:\-]\d+)*", number)
     bare = F.replace(F.replace(masked, F.lit(number), F.lit("")), F.lit(path), F.lit(""))
     return F.when(bare.rlike(r"[\p{L}\p{N}]"), masked).otherwise(c)
 
@@ -113,7 +127,7 @@ def whole_word(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def is_slash_command(c: Column) -> Column:
-    return strip(c).rlike(r"(?Us)\A/[A-Za-z][\w-]*(?:\s.*)?\z")
+    return strip(c).rlike(rf"(?Us)\A/[A-Za-z][\w-]*(?:{SPACE}.*)?\z")
 
 
 def is_confirm_key(c: Column) -> Column:
@@ -125,12 +139,12 @@ def is_correction_key(c: Column) -> Column:
 
 
 def is_bare_path(c: Column) -> Column:
-    return strip(c).rlike(r"(?U)\A(?:/|~/)\S*\z")
+    return strip(c).rlike(rf"(?U)\A(?:/|~/){INK}*\z")
 
 
 def classify_kind(text: Column, key: Column, correction: Column) -> Column:
     """The first rule that fits names the kind (G1)."""
-    template = F.regexp_replace(text, r"(?U)\A\s+", "").startswith("<skill") | (F.length(key) > x.TEMPLATE_CHARS)
+    template = F.regexp_replace(text, rf"(?U)\A{SPACE}+", "").startswith("<skill") | (F.length(key) > x.TEMPLATE_CHARS)
     workflow = whole_word(key, x.WORKFLOW_WORDS) | contains_any(key, x.WORKFLOW_MARKERS)
     return (
         F.when(template, "template").when(correction, "constraint").when(whole_word(key, x.TOOL_WORDS), "tooling")

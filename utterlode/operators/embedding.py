@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -10,8 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+from ..plans.durable import discard, saved
+from ..sources.remote import post_json, required_env
+
 Fetcher = Callable[[list[str]], list[list[float]]]
-MOST_CHARS, BATCH = 1000, 128
+MOST_CHARS, BATCH, DIMENSIONS = 1000, 128, 1024
+CACHE = "key string, vector array<float>"
 
 
 class EmbeddingError(RuntimeError):
@@ -23,19 +27,28 @@ class EmbeddingConfig:
     base_url: str
     api_key: str
     model: str
+    dimensions: int = DIMENSIONS
 
     @classmethod
     def from_env(cls, prefix: str = "UTTERLODE_EMBEDDING") -> EmbeddingConfig:
-        values = {n: os.environ.get(f"{prefix}_{n.upper()}", "").strip() for n in ("base_url", "api_key", "model")}
-        if missing := [f"{prefix}_{n.upper()}" for n, v in values.items() if not v]:
-            raise EmbeddingError(f"{', '.join(missing)} must be set")
-        return cls(values["base_url"].rstrip("/"), values["api_key"], values["model"])
+        return cls(*required_env(prefix, ("base_url", "api_key", "model"), EmbeddingError))
+
+
+def http_fetcher(config: EmbeddingConfig) -> Fetcher:
+    """A fetcher for services with the usual ``/embeddings`` request; vectors come back in the order of the texts."""
+
+    def fetch(batch: list[str]) -> list[list[float]]:
+        request = {"model": config.model, "input": batch, "dimensions": config.dimensions, "encoding_format": "float"}
+        reply = post_json(f"{config.base_url}/embeddings", config.api_key, request, EmbeddingError, attempts=4, timeout=120)
+        return [row["embedding"] for row in sorted(reply["data"], key=lambda row: row["index"])]
+
+    return fetch
 
 
-def with_keys(texts: DataFrame, model: str) -> DataFrame:
+def with_keys(texts: DataFrame, model: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Adds the text as sent and its cache key."""
     sent = texts.withColumn("sent", F.substring("text", 1, MOST_CHARS))
-    return sent.withColumn("key", F.sha2(F.concat_ws("\0", F.lit(model), F.col("sent")), 256))
+    return sent.withColumn("key", F.sha2(F.concat_ws("\0", F.lit(model), F.lit(str(dimensions)), F.col("sent")), 256))
 
 
 def missing(keyed: DataFrame, cache: DataFrame) -> DataFrame:
@@ -44,25 +57,34 @@ def missing(keyed: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def fetch(rows: DataFrame, fetcher: Fetcher) -> DataFrame:
-    """``key, vector`` of rows, a batch at a time; a reply of another length than its batch is an error."""
+    """``key, vector, error`` of rows, a batch at a time. A batch that fails, or whose reply has another length, gives its
+    error instead of vectors; the others stand."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), BATCH):
                 part = frame.iloc[at : at + BATCH]
-                vectors = fetcher(part["sent"].tolist())
-                if len(vectors) != len(part):
-                    raise EmbeddingError(f"{len(vectors)} vectors for {len(part)} texts")
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "vector": vectors})
+                try:
+                    vectors = fetcher(part["sent"].tolist())
+                    error = None if len(vectors) == len(part) else f"{len(vectors)} vectors for {len(part)} texts"
+                except Exception as failure:  # told to the driver, which keeps the other batches and then raises
+                    error = f"{type(failure).__name__}: {failure}"
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "vector": vectors if error is None else None, "error": error})
 
-    return rows.mapInPandas(run, "key string, vector array<float>")
+    return rows.mapInPandas(run, f"{CACHE}, error string")
 
 
-def embed(texts: DataFrame, fetcher: Fetcher, model: str, cache_path: str) -> DataFrame:
-    """``texts`` with their vectors. New vectors are appended to the cache table first, so what was fetched stays."""
+def embed(texts: DataFrame, fetcher: Fetcher, model: str, cache_path: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``texts`` with their vectors, of norm 1 (J6, L2). Vectors that came are appended to the cache table before any error is
+    raised, so a run that failed in part goes on where it stopped."""
     spark = texts.sparkSession
-    keyed, kinds = with_keys(texts, model), "key string, vector array<float>"
-    spark.createDataFrame([], kinds).write.mode("append").parquet(cache_path)
-    fetch(missing(keyed, spark.read.schema(kinds).parquet(cache_path)), fetcher).write.mode("append").parquet(cache_path)
-    cache = spark.read.schema(kinds).parquet(cache_path).dropDuplicates(["key"])
-    return keyed.join(cache, "key").drop("key", "sent")
+    keyed = with_keys(texts, model, dimensions)
+    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
+    fetched = saved(fetch(missing(keyed, spark.read.schema(CACHE).parquet(cache_path)), fetcher), "fetched")
+    fetched.where("error is null").select("key", "vector").write.mode("append").parquet(cache_path)
+    failed = fetched.where("error is not null").orderBy("key").select("error").first()
+    discard(fetched)
+    if failed:
+        raise EmbeddingError(failed["error"])
+    cache = spark.read.schema(CACHE).parquet(cache_path).dropDuplicates(["key"])
+    return keyed.join(cache, "key").drop("key", "sent").withColumn("vector", t.normalize_vector(F.col("vector")))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.numbering import numbered
 
 SKIPS = ("no_session", "empty", "slash", "confirm")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds ``v`` (variant) and ``malformed``; blank lines go."""
-    rows = lines.withColumn("raw", t.strip(F.col("raw"))).where("raw <> ''").withColumn("v", F.try_parse_json("raw"))
+    rows = lines.withColumn("raw", t.strip(F.col("raw"))).where("raw <> ''").withColumn("v", parse_json(F.col("raw")))
     return rows.withColumn("malformed", ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
 
 
+def parse_json(raw: Column) -> Column:
+    """A variant, or null. NaN and infinities outside strings, which writers of JSON leave at times, count as null."""
+    marked = F.regexp_replace(raw, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|-?(?:NaN|Infinity)', "$1\x00")  # a mark after each string, and for each token
+    mended = F.replace(F.replace(marked, F.lit('"\x00'), F.lit('"')), F.lit("\x00"), F.lit("null"))
+    return F.coalesce(F.try_parse_json(raw), F.when(raw.rlike("NaN|Infinity"), F.try_parse_json(mended)))
+
+
 def sticky(value: str, partition: str = "source_file", order: str = "line_no"):
     """The last non-empty value so far in the file."""
     window = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -37,9 +45,16 @@ def with_disposition(entries: DataFrame) -> DataFrame:
     return rows.withColumn("disposition", rule.otherwise("kept"))
 
 
+def said_at(path: str) -> Column:
+    """A field as text; what counts as false in Python (missing, null, 0, false, empty) is empty."""
+    value, kind = F.try_variant_get("v", path, "string"), F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    hollow = (kind != "STRING") & value.rlike(r"\A(?:false|-?0(?:\.0*)?(?:[eE][+-]?\d+)?|\[\]|\{\})\z")
+    return F.when(hollow, "").when(kind == "BOOLEAN", "True").otherwise(F.coalesce(value, F.lit("")))
+
+
 def session_entries(parsed: DataFrame) -> DataFrame:
     """User messages with their session's id and folder, in order of file (by path component) and line."""
-    get = lambda path: F.coalesce(F.try_variant_get("v", path, "string"), F.lit(""))
+    get = said_at
     rows = parsed.where(~F.col("malformed")).select("source_file", "line_no", "v", get("$.type").alias("type")).where("type in ('session', 'message')")
     header = lambda path: F.when(F.col("type") == "session", get(path))
     rows = rows.withColumns({"_id": header("$.id"), "_cwd": header("$.cwd")})
@@ -52,11 +67,11 @@ def session_entries(parsed: DataFrame) -> DataFrame:
 def utterances(entries: DataFrame) -> DataFrame:
     """Kept entries in the shape of the utterance file, with their order ``seq``."""
     kept = with_disposition(entries).where("disposition = 'kept'")
-    order = Window.orderBy(F.split("source_file", "/"), "line_no")
-    return kept.select(
+    placed = numbered(kept, [F.split("source_file", "/").asc(), F.asc("line_no")], "seq", start=1)
+    return placed.select(
         t.utterance_id(F.col("session_id"), F.col("entry_id")).alias("utterance_id"), "session_id", "entry_id", "timestamp", "cwd",
         t.project_key(F.col("source_file")).alias("project_key"), "text", F.length("text").cast("long").alias("char_len"), "source_file",
-        F.row_number().over(order).cast("long").alias("seq"),
+        "seq",
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as x
 from ..functions import text as t
+from ..plans.numbering import numbered
 
 
 def candidates(phrases: DataFrame, clusters: DataFrame, min_count: int = 3, min_projects: int = 3) -> DataFrame:
@@ -26,8 +27,8 @@ def candidates(phrases: DataFrame, clusters: DataFrame, min_count: int = 3, min_
     rows = rows.withColumn("confidence", F.when((F.col("project_count") >= min_projects) | long_lived, "strong").otherwise("medium"))
     rows = rows.withColumns({"suggested_dest": t.destination(F.col("kind"), F.col("confidence")), "section": t.review_section(F.col("kind"), F.col("confidence")), "label": t.display_label(F.col("text"), F.col("kind"))})
     place = F.array_position(F.array(*map(F.lit, x.SECTIONS)), F.col("section"))
-    number = F.row_number().over(Window.orderBy(place, F.desc("confidence"), F.desc("count"), F.desc("project_count"), "candidate_id"))
-    return rows.withColumn("number", number.cast("long")).select("number", "candidate_id", "label", "count", "project_count", "day_span", "kind", "suggested_dest", "confidence", "variant_count", "variants", "project_keys", "section")
+    order = [place, F.desc("confidence"), F.desc("count"), F.desc("project_count"), F.asc("candidate_id")]
+    return numbered(rows, order, "number", start=1).select("number", "candidate_id", "label", "count", "project_count", "day_span", "kind", "suggested_dest", "confidence", "variant_count", "variants", "project_keys", "section")
 
 
 def correction_share(phrases: DataFrame) -> DataFrame:

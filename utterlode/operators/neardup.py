@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as x
 from ..functions import text as t
 from ..plans.durable import saved
+from ..plans.numbering import numbered
 from .components import connected_components
 
 
@@ -20,21 +21,23 @@ def drop_forks(rows: DataFrame) -> DataFrame:
 def jaccard_pairs(keys: DataFrame, threshold: float = x.FUZZY_JACCARD) -> DataFrame:
     """``a, b, similarity`` of all pairs of ``ord, key`` whose character bigrams are at least ``threshold`` alike.
 
-    Exact: with bigrams rare-first, two similar keys share one within their first ``n - ceil(threshold n) + 1``. So only
-    prefixes are joined, on bigram, with the length filter in the join; the intersection is counted once per pair.
+    Exact: with bigrams rare-first, two similar keys share one within their first ``n - ceil(threshold n) + 1``. Prefixes
+    are joined on bigram; sizes and places in the order bound what a pair can still share. A key's bigrams, as numbers,
+    travel with its prefix, so a pair is decided where it meets, and only at the first bigram that it shares.
     """
-    sets = keys.select("ord", t.bigrams(F.col("key")).alias("grams")).withColumn("n", F.size("grams"))
-    tokens = sets.select("ord", "n", F.explode("grams").alias("gram"))
+    code = lambda c: F.ascii(c) * 2097152 + F.ascii(F.substring(c, 2, 1))  # both code points; 2^21 is beyond any
+    tokens = keys.select("ord", F.explode(t.bigrams(F.col("key"))).alias("gram")).select("ord", code(F.col("gram").cast("string")).cast("long").alias("gram"))
+    tokens = saved(tokens, "bigrams")
     rarity = tokens.groupBy("gram").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "gram"))
-    prefix = tokens.join(rarity, "gram").withColumn("rank", rank).where(F.expr(f"rank <= n - ceil({threshold}D * n - 1e-9D) + 1"))
-    left, right = (prefix.select("gram", F.col("ord").alias(s), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
-    met = left.join(right, "gram").where(F.expr(f"a < b and least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-9D")).select("a", "b").distinct()
-    whole = lambda s: sets.select(F.col("ord").alias(s), F.col("grams").alias(f"g_{s}"))
-    both = met.join(whole("a"), "a").join(whole("b"), "b")
-    common = F.size(F.array_intersect("g_a", "g_b"))
-    similarity = common / (F.size("g_a") + F.size("g_b") - common)
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= F.lit(threshold))
+    ranked = tokens.join(rarity, "gram").groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda r: r["gram"]).alias("grams"))
+    sets = saved(ranked.withColumn("n", F.size("grams")), "sets")
+    prefix = sets.select("ord", "n", "grams", F.posexplode(F.expr(f"slice(grams, 1, cast(n - ceil({threshold}D * n - 1e-9D) + 1 as int))")).alias("place", "gram"))
+    left, right = (prefix.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("ord", "n", "place", "grams")]) for s in ("a", "b"))
+    need = f"ceil({threshold / (1 + threshold)!r}D * (n_a + n_b) - 1e-9D)"
+    met = left.join(right, "gram").where(F.expr(f"ord_a < ord_b and least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-9D and least(n_a - place_a, n_b - place_b) >= {need}"))
+    shared = met.withColumn("common", F.array_intersect("grams_a", "grams_b")).where("common[0] = gram")
+    similarity = F.size("common") / (F.col("n_a") + F.col("n_b") - F.size("common"))
+    return shared.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= F.lit(threshold))
 
 
 def key_groups(rows: DataFrame, threshold: float = x.FUZZY_JACCARD) -> DataFrame:
@@ -49,21 +52,25 @@ def phrases(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per component: its most frequent wording (the earliest on a tie) and the rollup of its utterances (A4)."""
     placed = rows.where("norm_key <> ''").join(groups, "match_key").withColumn("_at", F.struct("timestamp", "key_ord", "seq"))
     wordings = placed.groupBy("component", "text").agg(F.count("*").alias("n"), F.min("_at").alias("at"))
-    best = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "at"))
-    chosen = wordings.withColumn("best", best).where("best = 1").select("component", "text")
+    chosen = wordings.groupBy("component").agg(F.min_by("text", F.struct((-F.col("n")).alias("less"), "at")).alias("text"))
     rolled = placed.groupBy("component").agg(
         F.count("*").alias("count"), F.array_sort(F.collect_set("project_key")).alias("project_keys"),
         F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_at", "utterance_id"))), lambda r: r["utterance_id"]).alias("utterance_ids"),
     )
-    named = saved(rolled.join(chosen, "component").withColumn("norm_key", t.normalize_key("text")), "phrases")
-    order = F.row_number().over(Window.orderBy(F.desc("count"), "norm_key")) - 1
-    return named.select(
+    named = rolled.join(chosen, "component").withColumn("norm_key", t.normalize_key("text"))
+    return numbered(named, [F.desc("count"), F.asc("norm_key"), F.asc("component")], "ord").select(
         t.digest(F.col("norm_key"), 12).alias("phrase_id"), "text", "norm_key", "count", "project_keys", "first_timestamp", "last_timestamp",
-        t.is_correction_key(F.col("norm_key")).alias("is_correction"), "utterance_ids", order.cast("long").alias("ord"),
+        t.is_correction_key(F.col("norm_key")).alias("is_correction"), "ord", "component",
     )
 
 
+def members(rows: DataFrame, groups: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``phrase_id, timestamp, key_ord, seq, utterance_id``: the utterances of each phrase, a row each, so that a phrase that
+    was said in a third of all utterances is no cell. Sorted by the three in the middle they stand as they were said."""
+    placed = rows.where("norm_key <> ''").join(groups, "match_key")
+    return placed.join(phrases.select("component", "phrase_id"), "component").select("phrase_id", "timestamp", "key_ord", "seq", "utterance_id")
+
+
 def keyed(utterances: DataFrame) -> DataFrame:
     """Utterances with ``norm_key`` and ``match_key``, computed once."""
     return saved(utterances.withColumn("norm_key", t.normalize_key("text")), "keyed").withColumn("match_key", t.match_key(F.col("norm_key")))

@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -13,19 +14,60 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as x
 from ..functions import text as t
+from ..sources.remote import post_json, required_env
 from ..sources.sessions import replaced
 
 ChatFn = Callable[[str, str], str]
-#: Candidates go in three prompts; templates are left out.
-GROUPS = (("constraint", "preference", "tooling"), ("workflow",), ("other", "medium"))
-ASK = 'Each line is a cluster of things a developer said. State what they ask for. Reply with JSON only: {"conclusions": [{"statement": "", "kind": "", "dest": "", "evidence": [1]}]}'
-ASK_SUMMARY = 'Each line is a conclusion about a developer. Sum them up in three to six. Reply with JSON only: {"summary": [{"statement": "", "evidence": [1]}]}'
+#: Candidates go in three prompts, each under a title; templates are left out.
+GROUPS = (
+    ("Rules, preferences and habits with tools, seen in many projects", ("constraint", "preference", "tooling")),
+    ("Recurring steps of work, seen in many projects", ("workflow",)),
+    ("Unsorted or seen in few projects: mostly noise, keep only clear patterns", ("other", "medium")),
+)
+ASK = f"""Each line is a cluster of things a developer said to a coding agent: its number, kind, how often and in how many projects, the pattern, and wordings with their counts.
+State, one sentence each and in Chinese, what the developer asks for again and again; join clusters that say the same, and leave out what several wordings do not support.
+"kind" is one of: {", ".join(x.CONCLUSION_KINDS)}. "dest" says where the statement belongs, one of: {", ".join(x.CONCLUSION_DESTS)}.
+"evidence" lists numbers of the lines, one at least. An empty list is a good reply where nothing is certain.
+Reply with JSON only: {{"conclusions": [{{"statement": "", "kind": "", "dest": "", "evidence": [1]}}]}}"""
+ASK_SUMMARY = """Each line is a conclusion about a developer, with its kind, its place, how often it was seen, and the numbers of its evidence.
+Sum up how they work with an agent in three to six sentences in Chinese; "evidence" lists numbers from the lines.
+Reply with JSON only: {"summary": [{"statement": "", "evidence": [1]}]}"""
+MOST_TOKENS = 16_000
 
 
 class ReplyError(RuntimeError):
     pass
 
 
+class ChatError(RuntimeError):
+    pass
+
+
+@dataclass(frozen=True)
+class ChatConfig:
+    base_url: str
+    api_key: str
+    model: str
+
+    @classmethod
+    def from_env(cls, model: str | None = None, prefix: str = "UTTERLODE_CHAT") -> ChatConfig:
+        if model:
+            return cls(*required_env(prefix, ("base_url", "api_key"), ChatError), model)
+        return cls(*required_env(prefix, ("base_url", "api_key", "model"), ChatError))
+
+
+def http_chat(config: ChatConfig) -> ChatFn:
+    """A chat function for services with the usual ``/chat/completions`` request."""
+
+    def chat(system: str, user: str) -> str:
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        request = {"model": config.model, "max_tokens": MOST_TOKENS, "messages": messages, "response_format": {"type": "json_object"}}
+        reply = post_json(f"{config.base_url}/chat/completions", config.api_key, request, ChatError, attempts=3, timeout=600)
+        return str(reply["choices"][0]["message"]["content"])
+
+    return chat
+
+
 def candidate_line() -> Column:
     """A candidate as a prompt line: patterns and figures, no raw utterances."""
     variants = F.array_join(F.transform("variants", lambda v: F.concat(t.collapse(v["text"]), F.lit(" ×"), v["count"].cast("string"))), "; ")
@@ -96,10 +138,10 @@ def synthesize(candidates: DataFrame, chat: ChatFn) -> tuple[list[dict], list[di
         return [c | {"count": figures[i]["count"], "project_count": figures[i]["project_count"]} for i, c in enumerate(claims)]
 
     found, dropped = [], 0
-    for sections in GROUPS:
+    for title, sections in GROUPS:
         members = [r for r in rows if r["section"] in sections]
         if members:
-            kept, lost = _claims(parse_reply(chat(ASK, "\n".join(r["line"] for r in members))).get("conclusions"), "conclusions", [r["number"] for r in members])
+            kept, lost = _claims(parse_reply(chat(ASK, "\n".join([title, "", *(r["line"] for r in members)]))).get("conclusions"), "conclusions", [r["number"] for r in members])
             found, dropped = found + kept, dropped + lost
     conclusions = sorted(weighed(found), key=lambda c: (x.CONCLUSION_DESTS.index(c["dest"]), -c["project_count"], -c["count"]))
     if not conclusions:

@@ -25,17 +25,34 @@ from (select *, regexp_extract(props, '([0-9]+)', 1) as n from {events}
 _REST = "ts, user_id, event_type, value, props"
 _PARTS = "select p_partkey as seq, p_name as text, p_brand as project_key from {part}"
 _CONV = "select conv_id, turn, role, text from {conversations}"
+# Lines of session files: headers, messages of every shape, broken and empty ones; the first lines of a file have no header.
+_LINES = """
+select event_id as line_no, 'd' || (user_id % 7) || '/f' || (user_id % 31) || '.jsonl' as source_file,
+  case when event_id % 11 = 0 then '{{"type":"session","id":"s' || event_id || '","cwd":"/Users/u' || user_id || '/x"}}'
+    when event_id % 13 = 0 then 'not json ' || event_id
+    when event_id % 17 = 0 then '"a string"'
+    when event_id % 19 = 0 then '  '
+    when event_id % 23 = 0 then '{{"type":"session","id":0,"cwd":null}}'
+    when event_id % 29 = 0 then '{{"type":"message","id":"e' || event_id || '","timestamp":"t","message":{{"role":"user","content":' || event_id || '}}}}'
+    when event_id % 31 = 0 then '{{"type":"message","id":false,"message":{{"role":"user","content":[{{"type":"text","text":"a' || user_id || '"}},{{"type":"image"}},{{"type":"text","text":"b"}},7]}}}}'
+    when event_id % 37 = 0 then '{{"type":"message","id":"x","message":{{"role":"assistant","content":"no"}}}}'
+    when event_id % 41 = 0 then '{{"type":"message","id":"e' || event_id || '","message":{{"role":"user","content":" /compact it"}}}}'
+    when event_id % 43 = 0 then '{{"type":"message","id":"e' || event_id || '","message":{{"role":"user","content":"OK."}}}}'
+    else '{{"type":"message","id":"e' || event_id || '","timestamp":"2024","message":{{"role":"user","content":"  say ' || event_type || ' ' || user_id || '"}}}}' end as raw
+from {events}
+"""
 
 
 def sql(name: str) -> str:
     """The adapter for DuckDB."""
-    text = {"dialog": _DIALOG, "parts": _PARTS, "conv": _CONV}[name]
+    text = {"dialog": _DIALOG, "parts": _PARTS, "conv": _CONV, "lines": _LINES}[name]
     return text.format(string="varchar", rest=_REST, events="events", part="part", conversations="conversations")
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text, table = {"dialog": (_DIALOG, "events"), "parts": (_PARTS, "part"), "conv": (_CONV, "conversations")}[name]
+    text, table = {"dialog": (_DIALOG, "events"), "lines": (_LINES, "events"), "parts": (_PARTS, "part"), "conv": (_CONV, "conversations")}[name]
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     if name == "dialog":
         source = source.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    text = text.replace("{{", "{{{{").replace("}}", "}}}}")  # Spark fills the text's places in too
     return spark.sql(text.format(string="string", rest=_REST, events="{events}", part="{part}", conversations="{conversations}"), **{table: source})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import text as t
 from ..operators import clusters, extract, grade, neardup
 from ..operators.components import connected_components
 from . import adapters
-from .durable import saved
+from .durable import new_path, saved
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -140,10 +141,10 @@ def _(spark, sf_dir):
     return pages.select("page_id", t.project_key(F.regexp_replace("url", "^https?://", "")).alias("project_key"))
 
 
-@_query("p21_l2_normalize", "select vec_id, round(embedding[1] / n, 6) as first, round(embedding[64] / n, 6) as last from (select vec_id, embedding::double[] as embedding, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)")
+@_query("p21_l2_normalize", "select vec_id, i, round(e / n, 6) as component from (select vec_id, unnest(embedding::double[]) as e, unnest(generate_series(1, len(embedding))) as i, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)")
 def _(spark, sf_dir):
     unit = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", t.normalize_vector(F.col("embedding")).alias("v"))
-    return unit.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+    return unit.select("vec_id", F.posexplode("v").alias("i", "c")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("c", 6).alias("component"))
 
 
 @_query("f1_role_filter", "select conv_id, turn, text from conversations where role = 'user'")
@@ -165,6 +166,51 @@ def _(spark, sf_dir):
     return extract.counters(extract.with_disposition(_dialog(spark, sf_dir)))
 
 
+_L = adapters.sql("lines")
+_FIELD = "case when json_type(j, '$.{0}') = 'VARCHAR' then json_extract_string(j, '$.{0}') when coalesce(json_type(j, '$.{0}'), 'NULL') = 'NULL' or json_extract_string(j, '$.{0}') in ('0', 'false') then '' else json_extract_string(j, '$.{0}') end"
+_CONTENT = """case json_type(j, '$.message.content') when 'VARCHAR' then json_extract_string(j, '$.message.content')
+  when 'ARRAY' then array_to_string(list_transform(list_filter(cast(json_extract(j, '$.message.content') as json[]), lambda i: json_type(i) = 'OBJECT' and json_extract_string(i, '$.type') = 'text' and json_type(i, '$.text') = 'VARCHAR'), lambda i: json_extract_string(i, '$.text')), chr(10)) else '' end"""
+_PARSED = f"parsed as (select source_file, line_no, case when json_valid(raw) and json_type(raw) = 'OBJECT' then raw end as j from ({_L}) l where trim(raw) <> '')"
+_SO_FAR = "last_value(nullif({0}, '') ignore nulls) over (partition by source_file order by line_no rows between unbounded preceding and current row)"
+_ENTRIES = f"""{_PARSED}, typed as (select *, {_FIELD.format("type")} as type, {_FIELD.format("id")} as id, {_FIELD.format("cwd")} as own_cwd from parsed where j is not null),
+sticky as (select *, {_SO_FAR.format("case when type = 'session' then id end")} as session_id, coalesce({_SO_FAR.format("case when type = 'session' then own_cwd end")}, '') as cwd from typed where type in ('session', 'message')),
+entries as (select source_file, line_no, session_id, cwd, id as entry_id, {_FIELD.format("timestamp")} as timestamp, trim({_CONTENT}) as text from sticky where type = 'message' and json_extract_string(j, '$.message.role') = 'user')"""
+_DISPOSED = f"""{_ENTRIES}, keyed as (select *, {_KEY} as norm_key from entries),
+disposed as (select *, case when coalesce(session_id, '') = '' then 'no_session' when text = '' then 'empty' when {_SLASH} then 'slash' when {_CONFIRM} then 'confirm' else 'kept' end as disposition from keyed)"""
+
+
+def _parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.parse_lines(adapters.frame(spark, sf_dir, "lines"))
+
+
+@_query("s2_parse_lines", f"with {_PARSED} select source_file, line_no, j is null as malformed from parsed")
+def _(spark, sf_dir):
+    return _parsed_lines(spark, sf_dir).select("source_file", "line_no", "malformed")
+
+
+@_query("p1_session_entries", f"with {_ENTRIES} select source_file, line_no, session_id, cwd, entry_id, timestamp, text from entries")
+def _(spark, sf_dir):
+    return extract.session_entries(_parsed_lines(spark, sf_dir)).withColumn("text", t.strip(_text()))
+
+
+@_query("f2_line_counters", f"with {_DISPOSED} select count(*) filter (disposition = 'kept') as utterances, count(distinct case when disposition = 'kept' then split_part(source_file, '/', 1) end) as projects, {', '.join(f"count(*) filter (disposition = '{s}') as skipped_{s}" for s in extract.SKIPS)} from disposed")
+def _(spark, sf_dir):
+    disposed = extract.with_disposition(extract.session_entries(_parsed_lines(spark, sf_dir)))
+    return extract.counters(disposed.withColumn("project_key", t.project_key(F.col("source_file"))))
+
+
+@_query("o1_utterance_order", f"with {_DISPOSED} select substr(sha256(session_id || ':' || entry_id), 1, 16) as utterance_id, text, length(text) as char_len, row_number() over (order by string_split(source_file, '/'), line_no) as seq from disposed where disposition = 'kept'")
+def _(spark, sf_dir):
+    return extract.utterances(extract.session_entries(_parsed_lines(spark, sf_dir))).select("utterance_id", "text", "char_len", "seq")
+
+
+@_query("s3_tolerant_read", "select turn, conv_id, role || '�' as text from conversations")
+def _(spark, sf_dir):
+    """Bytes that are no UTF-8 become the replacement character."""
+    rows = adapters.frame(spark, sf_dir, "conv")
+    return rows.select("turn", "conv_id", F.make_valid_utf8(F.concat(F.encode("role", "UTF-8"), F.unhex(F.lit("FF"))).cast("string")).alias("text"))
+
+
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialog rows without replayed copies and blank keys."""
     rows = neardup.keyed(_dialog(spark, sf_dir)).withColumn("utterance_id", t.utterance_id(F.col("session_id"), F.col("entry_id")))
@@ -248,6 +294,13 @@ def _(spark, sf_dir):
     return _dialog_phrases(spark, sf_dir).select("ord", "phrase_id", "text", "norm_key", "count", F.array_join("project_keys", ",").alias("projects"), "first_timestamp", "last_timestamp", "is_correction")
 
 
+@_query("a4_phrase_members", f"with {_PHRASES} select p.phrase_id, g.timestamp, g.component as key_ord, g.seq, substr(sha256(g.session_id || ':' || g.entry_id), 1, 16) as utterance_id from grouped g join phrases p using (component)")
+def _(spark, sf_dir):
+    kept = saved(_kept(spark, sf_dir), "kept")
+    groups = kept.groupBy("match_key").agg(F.min("seq").alias("key_ord")).withColumn("component", F.col("key_ord"))
+    return neardup.members(kept, groups, saved(neardup.phrases(kept, groups), "phrases"))
+
+
 # --- clusters -------------------------------------------------------------------------------------------------------
 
 _TERMS = """clean as (select ord, regexp_replace(substr(key, 1, 300), '\\s\\s+', ' ', 'g') as c from keys),
@@ -262,6 +315,11 @@ def _(spark, sf_dir):
     return clusters.tfidf_weights(_part_keys(spark, sf_dir)).select("ord", "term", "df", F.round("weight", 6).alias("weight"))
 
 
+_WALK = """numbered as (select ord, row_number() over (order by ord) as i from keys),
+near as (select b, list(a order by similarity desc, a) as before from pairs group by b),
+walk as (select 0::bigint as i, []::bigint[] as leaders, 0::bigint as ord, 0::bigint as leader union all
+  select n.i, case when l.pick is null then list_append(l.leaders, n.ord) else l.leaders end, n.ord, coalesce(l.pick, n.ord)
+  from (select w.i, w.leaders, list_filter(coalesce(r.before, []), lambda e: list_contains(w.leaders, e))[1] as pick from walk w join numbered m on m.i = w.i + 1 left join near r on r.b = m.ord) l join numbered n on n.i = l.i + 1)"""
 _COSINE = f"{_PART_KEYS}, {_TERMS}, pairs as (select p.ord as a, q.ord as b, sum(p.weight * q.weight) as similarity from weights p join weights q on p.term = q.term and p.ord < q.ord group by 1, 2 having sum(p.weight * q.weight) >= 0.55)"
 
 
@@ -273,12 +331,7 @@ def _(spark, sf_dir):
 
 @_query(
     "c1_leaders_tfidf",
-    f"""with recursive {_COSINE}, numbered as (select ord, row_number() over (order by ord) as i from keys),
-near as (select b, list(a order by similarity desc, a) as before from pairs group by b),
-walk as (select 0::bigint as i, []::bigint[] as leaders, 0::bigint as ord, 0::bigint as leader union all
-  select n.i, case when l.pick is null then list_append(l.leaders, n.ord) else l.leaders end, n.ord, coalesce(l.pick, n.ord)
-  from (select w.i, w.leaders, list_filter(coalesce(r.before, []), lambda e: list_contains(w.leaders, e))[1] as pick from walk w join numbered m on m.i = w.i + 1 left join near r on r.b = m.ord) l join numbered n on n.i = l.i + 1)
-select ord, leader from walk where i > 0""",
+    f"with recursive {_COSINE}, {_WALK} select ord, leader from walk where i > 0",
 )
 def _(spark, sf_dir):
     keys = saved(_part_keys(spark, sf_dir), "keys")
@@ -291,6 +344,24 @@ def _(spark, sf_dir):
     return clusters.dense_pairs(unit, 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+_UNIT = "u as (select vec_id as ord, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), keys as (select ord from u), pairs as (select p.ord as a, q.ord as b, list_dot_product(p.v, q.v) / (p.n * q.n) as similarity from u p join u q on p.ord < q.ord where list_dot_product(p.v, q.v) / (p.n * q.n) >= 0.8)"
+
+
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ord"), t.normalize_vector(F.col("embedding")).alias("vector"))
+
+
+@_query("c4_cosine_pairs_default", f"with {_UNIT} select a, b, round(similarity, 6) as similarity from pairs")
+def _(spark, sf_dir):
+    return clusters.dense_pairs(_unit(spark, sf_dir), x.COSINE_EMBEDDING).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@_query("c1_leaders_embedding", f"with recursive {_UNIT}, {_WALK} select ord, leader from walk where i > 0")
+def _(spark, sf_dir):
+    unit = saved(_unit(spark, sf_dir), "unit")
+    return clusters.leader_clusters(unit, clusters.dense_pairs(unit, x.COSINE_EMBEDDING))
+
+
 # --- grading --------------------------------------------------------------------------------------------------------
 
 
@@ -350,32 +421,80 @@ def _(spark, sf_dir):
     return grade.project_distribution(_dialog(spark, sf_dir))
 
 
-def mine(spark: SparkSession, utterances: DataFrame, min_count: int = 3, min_projects: int = 3, backend: str = "tfidf") -> tuple[DataFrame, DataFrame]:
-    """The whole of mining: phrases and ranked candidates of ``utterances``."""
-    rows = neardup.drop_forks(neardup.keyed(utterances))
+@dataclass
+class Mined:
+    phrases: DataFrame
+    clusters: DataFrame
+    candidates: DataFrame
+    forks: int
+
+
+def mine(spark: SparkSession, utterances: DataFrame, min_count: int = 3, min_projects: int = 3, embed: Callable[[DataFrame], DataFrame] | None = None) -> Mined:
+    """The whole of mining (M1): phrases, their clusters, and ranked candidates of ``utterances``.
+
+    ``embed`` adds a unit ``vector`` to rows with a ``text``; with it, phrases are clustered by embedding cosine, else by
+    TF-IDF.
+    """
+    keyed = neardup.keyed(utterances)
+    rows = saved(neardup.drop_forks(keyed), "rows")
     phrases = saved(neardup.phrases(rows, neardup.key_groups(rows)), "phrases")
-    keys = phrases.select("ord", t.match_key(F.col("norm_key")).alias("key"))
-    pairs = clusters.cosine_pairs(clusters.tfidf_weights(keys), x.COSINE_TFIDF)
-    return phrases, grade.candidates(phrases, clusters.leader_clusters(phrases, pairs), min_count, min_projects)
+    if embed:
+        pairs = clusters.dense_pairs(saved(embed(phrases.select("ord", "text")).select("ord", "vector"), "vectors"), x.COSINE_EMBEDDING)
+    else:
+        keys = phrases.select("ord", t.match_key(F.col("norm_key")).alias("key"))
+        pairs = clusters.cosine_pairs(clusters.tfidf_weights(keys), x.COSINE_TFIDF)
+    found = clusters.leader_clusters(phrases, pairs)
+    return Mined(phrases, found, grade.candidates(phrases, found, min_count, min_projects), keyed.count() - rows.count())
+
+
+_ADMITTED = f"""admitted as (select seq, session_id, entry_id, timestamp, cwd, project_key, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from ({_D}) d),
+spoken as (select * from (select *, {_KEY} as norm_key from admitted) a where text <> '' and not {_SLASH} and not {_CONFIRM}),
+matched as (select *, {_masked('norm_key', x.PATH_TOKEN, x.NUMBER_TOKEN)} as match_key from spoken),
+kept as (select * from (select *, row_number() over (partition by timestamp, norm_key order by seq) as rn from matched) r where rn = 1 and norm_key <> '')"""
+_MERGED = f"""{_ADMITTED}, every_key as (select match_key as key, min(seq) as ord from kept group by 1),
+{_pairs_sql("fuzzy as (select * from every_key where length(key) between 4 and 200)").replace("from keys)", "from fuzzy)").replace("pairs as", "alike as")},
+edges as (select a as src, b as dst from alike union select b, a from alike),
+reach as (select src as node, dst as other from edges union select r.node, e.dst from reach r join edges e on r.other = e.src),
+merged as (select k.key, k.ord as key_ord, least(k.ord, coalesce(min(r.other), k.ord)) as component from every_key k left join reach r on r.node = k.ord group by 1, 2),
+grouped as (select k.*, m.key_ord, m.component from kept k join merged m on m.key = k.match_key),
+wordings as (select component, text, count(*) as n, min(timestamp || '~' || lpad(cast(key_ord as varchar), 12, '0') || '~' || lpad(cast(seq as varchar), 12, '0')) as first_at from grouped group by 1, 2),
+chosen as (select component, text from (select *, row_number() over (partition by component order by n desc, first_at) as best from wordings) w where best = 1),
+rolled as (select component, count(*) as count, list_sort(list(distinct project_key)) as project_keys, min(timestamp) as first_timestamp, max(timestamp) as last_timestamp from grouped group by 1),
+named as (select r.*, c.text, {_KEY.replace('text', 'c.text')} as norm_key from rolled r join chosen c using (component)),
+phrases as (select *, row_number() over (order by count desc, norm_key, component) - 1 as ord, substr(sha256(norm_key), 1, 12) as phrase_id from named)"""
+_MINED = f"""{_MERGED}, keys as (select ord, {_masked('norm_key', x.PATH_TOKEN, x.NUMBER_TOKEN)} as key from phrases), {_TERMS},
+pairs as (select p.ord as a, q.ord as b, sum(p.weight * q.weight) as similarity from weights p join weights q on p.term = q.term and p.ord < q.ord group by 1, 2 having sum(p.weight * q.weight) >= 0.55), {_WALK},
+led as (select p.*, w.leader, {_clipped(_masked("text", x.PATH_SHOWN, x.NUMBER_SHOWN), x.VARIANT_CHARS)} as pattern from phrases p join walk w on w.ord = p.ord and w.i > 0),
+patterns as (select leader, pattern, sum(count)::bigint as n, min(ord) as first_ord from led group by 1, 2),
+variants as (select leader, count(*) as variant_count, array_to_string(list(pattern || '*' || n order by n desc, first_ord)[1:{x.VARIANTS_SHOWN}], '; ') as variants from patterns group by 1),
+sums as (select leader, sum(count)::bigint as count, list_sort(list_distinct(flatten(list(project_keys)))) as project_keys, date_diff('day', cast(substr(min(first_timestamp), 1, 10) as date), cast(substr(max(last_timestamp), 1, 10) as date)) as day_span from led group by 1),
+graded as (select s.*, len(s.project_keys) as project_count, v.variant_count, v.variants, p.phrase_id, p.text, p.norm_key, {_KIND.replace("(text)", "(p.text)").replace("norm_key", "p.norm_key")} as kind from sums s join variants v using (leader) join phrases p on p.ord = s.leader where s.count >= 3 and not regexp_full_match(trim(p.text), '(/|~/)\\S*')),
+confident as (select *, case when project_count >= 3 or (day_span >= 90 and count >= 9) then 'strong' else 'medium' end as confidence from graded),
+sectioned as (select *, case when kind = 'template' then 'template' when confidence = 'medium' then 'medium' else kind end as section,
+  case {" ".join(f"when kind = '{k}' and confidence = '{c}' then '{d}'" for (k, c), d in x.DESTINATIONS.items())} else 'observe' end as suggested_dest,
+  case when kind = 'template' then {_clipped("text", 60)} else {_clipped(_masked("text", x.PATH_SHOWN, x.NUMBER_SHOWN), 60)} end as label from confident)
+select row_number() over (order by list_position([{_quoted(x.SECTIONS)}], section), confidence desc, count desc, project_count desc, phrase_id) as number, phrase_id as candidate_id, label, count, project_count, day_span, kind, suggested_dest, confidence, variant_count, variants, array_to_string(project_keys, ',') as project_keys, section from sectioned"""
 
 
-@_query("mine_candidates")
+@_query("mine_candidates", f"with recursive {_MINED}")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the dialog, with fuzzy merging and clusters."""
     rows = extract.with_disposition(_dialog(spark, sf_dir)).where("disposition = 'kept'").drop("norm_key", "disposition")
     rows = rows.withColumn("utterance_id", t.utterance_id(F.col("session_id"), F.col("entry_id")))
-    return mine(spark, rows)[1]
+    found = mine(spark, rows).candidates
+    shown = F.array_join(F.transform("variants", lambda v: F.concat(v["text"], F.lit("*"), v["count"].cast("string"))), "; ")
+    return found.withColumn("variants", shown).withColumn("project_keys", F.array_join("project_keys", ","))
 
 
 # --- caches and evidence --------------------------------------------------------------------------------------------
 
 
-@_query("j5_cache_anti", f"select distinct sha256(concat_ws(chr(0), 'm', substr(text, 1, 1000))) as key, substr(text, 1, 1000) as sent from ({_P}) p where text not in (select p_name from part where p_partkey <= 20)")
+@_query("j5_cache_anti", f"select distinct sha256(concat_ws(chr(0), 'm', '8', substr(text, 1, 1000))) as key, substr(text, 1, 1000) as sent from ({_P}) p where text not in (select p_name from part where p_partkey <= 20)")
 def _(spark, sf_dir):
     from ..operators import embedding
 
     parts = _parts(spark, sf_dir)
-    return embedding.missing(embedding.with_keys(parts, "m"), embedding.with_keys(parts.where("seq <= 20"), "m"))
+    return embedding.missing(embedding.with_keys(parts, "m", 8), embedding.with_keys(parts.where("seq <= 20"), "m", 8))
 
 
 @_query("j8_evidence_rollup", f"with {_RANKED}, cited as (select number % 4 as id, count, project_keys from ranked), sums as (select id, sum(count)::bigint as count from cited group by id), spread as (select id, count(distinct p) as project_count from (select id, unnest(project_keys) as p from cited) u group by id) select id, count, project_count from sums join spread using (id)")
@@ -385,3 +504,65 @@ def _(spark, sf_dir):
     ranked = saved(_ranked(spark, sf_dir), "ranked")
     claims = ranked.groupBy((F.col("number") % 4).alias("id")).agg(F.collect_list("number").alias("evidence"))
     return synthesis.evidence_rollup(claims, ranked).select("id", "count", "project_count")
+
+
+_parts_key = "sha256(concat_ws(chr(0), 'm', '1024', substr(text, 1, 1000)))"
+
+
+@_query("p18_cache_key", f"select seq, {_parts_key} as key from ({_P}) p")
+def _(spark, sf_dir):
+    from ..operators import embedding
+
+    return embedding.with_keys(_parts(spark, sf_dir), "m").select("seq", "key")
+
+
+@_query("j6_embedded", f"select seq, round(n / sqrt(n * n + 1), 6) as first, round(1 / sqrt(n * n + 1), 6) as last from (select seq, length(text)::double as n from ({_P}) p) l")
+def _(spark, sf_dir):
+    """Vectors of parts by a fetcher that tells a text's length, through the cache table."""
+    from ..operators import embedding
+
+    found = embedding.embed(_parts(spark, sf_dir), lambda batch: [[float(len(x)), 1.0] for x in batch], "m", new_path(spark, "cache"), 2)
+    return found.select("seq", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[1], 6).alias("last"))
+
+
+_TITLED = "select seq, case when seq % 3 = 0 then '<skill name=\"plan ' || seq % 5 || '\">' || text when seq % 3 = 1 then chr(10) || '  ## Title of ' || text || chr(10) || 'body' else text end as text, case when seq % 3 < 2 then 'template' else 'other' end as kind from ({0}) d"
+
+
+@_query("p13_display_label", f"select seq, case when kind = 'template' and regexp_matches(text, '<skill\\s+name=') then 'skill: ' || regexp_extract(text, '<skill\\s+name=\"([^\"]+)\"', 1) when kind = 'template' then {_clipped("regexp_replace(string_split(text, chr(10))[2], '^[# ]+', '')", 60)} else {_clipped(_masked("text", x.PATH_SHOWN, x.NUMBER_SHOWN), 60)} end as label from ({_TITLED.format(_D)}) t")
+def _(spark, sf_dir):
+    rows = spark.sql(_TITLED.format("{dialog}").replace("chr(10)", "char(10)"), dialog=_dialog(spark, sf_dir))
+    return rows.select("seq", t.display_label(_text(), F.col("kind")).alias("label"))
+
+
+@_query("p16_candidate_line", f"""with {_RANKED} select number, '#' || number || ' [' || kind || '] 次数 ' || count || ' 项目 ' || project_count || ' | ' || label || ' | 变体: ' || {_clipped(_masked("text", x.PATH_SHOWN, x.NUMBER_SHOWN), x.VARIANT_CHARS)} || ' ×' || count as line from ranked""")
+def _(spark, sf_dir):
+    from ..operators import synthesis
+
+    return _ranked(spark, sf_dir).select("number", synthesis.candidate_line().alias("line"))
+
+
+_CITING = "number % 3 <> 0 and section <> 'template'"
+
+
+@_query(
+    "o5_conclusions",
+    f"""with {_RANKED}, told as (select *, [{_quoted(x.CONCLUSION_DESTS)}][1 + number % 4] as dest, case when section in ('constraint', 'preference', 'tooling') then 1 when section = 'workflow' then 2 else 3 end as part from ranked where {_CITING})
+select row_number() over (order by 1 + number % 4, project_count desc, count desc, part, number) as place, 'says ' || number as statement, dest, count, project_count, number as evidence, (select count(*) from ranked where number % 3 = 0 and section <> 'template') as dropped from told""",
+)
+def _(spark, sf_dir):
+    """Conclusions by a chat function that cites each line once, and leaves every third without a statement."""
+    import json
+    import re
+
+    from ..operators import synthesis
+
+    def chat(system: str, user: str) -> str:
+        if system == synthesis.ASK_SUMMARY:
+            return '{"summary": []}'
+        numbers = [int(n) for n in re.findall(r"^#(\d+) \[", user, re.MULTILINE)]
+        told = [{"statement": f"says {n}" if n % 3 else " ", "kind": "style", "dest": x.CONCLUSION_DESTS[n % 4], "evidence": [n, -1, n]} for n in numbers]
+        return json.dumps({"conclusions": told})
+
+    _, found, dropped = synthesis.synthesize(saved(_ranked(spark, sf_dir), "ranked"), chat)
+    rows = [(i + 1, c["statement"], c["dest"], c["count"], c["project_count"], c["evidence"][0], dropped) for i, c in enumerate(found)]
+    return spark.createDataFrame(rows, "place long, statement string, dest string, count long, project_count long, evidence long, dropped long")

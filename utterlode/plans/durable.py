@@ -7,22 +7,47 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH, _OWN = "spark.utterlode.scratch", "spark.utterlode.folder"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder (``spark.checkpoint.dir``); a temporary one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.utterlode.scratch", None)
+    """The cluster's checkpoint folder (``spark.checkpoint.dir``); a temporary one only where that is unset and driver and
+    executors are one process, as in tests. Elsewhere each executor would write to a disk of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_SCRATCH, None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='utterlode-')}"
-        spark.conf.set("spark.utterlode.scratch", folder)
+        spark.conf.set(_SCRATCH, folder)
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This session's part of the shared folder; it is removed when the driver ends."""
+    folder = spark.conf.get(_OWN, None)
+    if not folder:
+        folder = f"{shared_folder(spark)}/utterlode/{uuid.uuid4().hex}"
+        spark.conf.set(_OWN, folder)
+        path, files = _files(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet and read back: later plans start from the files and never recompute it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/utterlode/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._utterlode_path = path
@@ -31,8 +56,14 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a ``saved`` table that nothing reads any more."""
-    path = getattr(df, "_utterlode_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
+    if path := getattr(df, "_utterlode_path", None):
+        where, files = _files(df.sparkSession, path)
+        files.delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this session saved; results that still read them are lost."""
+    if folder := spark.conf.get(_OWN, None):
+        path, files = _files(spark, folder)
+        files.delete(path, True)
+        spark.conf.unset(_OWN)

@@ -6,13 +6,14 @@ import json
 
 from ..functions import fixed as x
 
-# Section titles of the reports.
+# Titles, lines and labels of the reports, here and in the functions below.
 TITLES = {
     "constraint": "约束与红线 → AGENTS", "preference": "偏好 → AGENTS", "tooling": "工具习惯 → AGENTS", "workflow": "工作流 → skill / prompt",
     "other": "附录 A：未分类（strong）", "medium": "附录 B：覆盖不足（medium）", "template": "附录 C：模板展开文本",
 }
 DEST_TITLES = {"AGENTS": "写入 AGENTS 的规则", "skill": "做成 skill 的工作流", "prompt": "做成 prompt template 的指令", "notes": "记入 notes 的事实"}
 NONE = "无"
+NOTE = "- 依据中的编号对应 candidates.md；「簇合计」是依据簇的全部发言数与项目数（本地计算），簇内可能含与结论无关的变体，不等于支持该结论的次数"
 
 
 def cell(text: str) -> str:
@@ -76,7 +77,7 @@ def persona_md(candidates: list[dict], total: int, corrections: int, top: list[d
 
 def conclusions_md(summary: list[dict], conclusions: list[dict], model: str, backend: str, n: int) -> str:
     proof = lambda c: f"{c['statement']} — {' '.join(f'#{e}' for e in c['evidence'])}（簇合计 {c['count']} 次 / {c['project_count']} 项目）"
-    out = ["# 结论", "", f"- 模型：{model}；聚类：{backend}；输入候选 {n}", "", "## 画像总结", "", *([f"- {proof(c)}" for c in summary] or [NONE]), ""]
+    out = ["# 结论", "", f"- 模型：{model}；聚类：{backend}；输入候选 {n}", NOTE, "", "## 画像总结", "", *([f"- {proof(c)}" for c in summary] or [NONE]), ""]
     for dest, title in DEST_TITLES.items():
         rows = [f"- [{c['kind']}] {proof(c)}" for c in conclusions if c["dest"] == dest]
         out += [f"## {title}（{len(rows)}）", "", *(rows or [NONE]), ""]
