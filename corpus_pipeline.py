@@ -6,7 +6,7 @@ Each stage takes all that the stage before kept, as written. All but the last re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlode.llm import jaccard, mixing, packing, substring, toxicity
@@ -14,6 +14,9 @@ from utterlode.llm.folds import held_out
 from utterlode.llm.queries import tokenizer_path
 from utterlode.plans.durable import saved
 
+#: Columns of the table of ids that stay, which no table of documents has.
+ID, ROWS = "_staying_id", "_staying_rows"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models score below one half; they learn as in the query of that operator."""
@@ -23,11 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links of similarity 0.8 join; of rows with one id, one."""
+    """The document with the smallest id of each group that links of similarity 0.8 join.
+
+    Of rows with one id, those with different texts all stay, and one of each text; rows without an id stay.
+    """
     groups = jaccard.jaccard_components(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(stay, "doc_id").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1")
-    return known.select(*docs.columns).union(docs.where("doc_id is null"))
+    stay = saved(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(ID)).agg(F.count("*").alias(ROWS)), "stay")
+    one = docs.join(stay.where(f"{ROWS} = 1").hint("shuffle_hash"), F.col("doc_id") == F.col(ID), "left_semi")
+    several = docs.join(stay.where(f"{ROWS} > 1").hint("shuffle_hash"), F.col("doc_id") == F.col(ID), "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
