@@ -91,8 +91,9 @@ def test_substring_hot_anchors(spark, monkeypatch):
         gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
         want[i] = (len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for hot in (substring.HOT, 3):
+    for hot, share in ((substring.HOT, substring.HOT_SHARE), (3, 10_000)):
         monkeypatch.setattr(substring, "HOT", hot)
+        monkeypatch.setattr(substring, "HOT_SHARE", share)
         got = {r["doc_id"]: (r["n_removed"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in substring.dedup_substrings(frame).collect()}
         assert got == want
     assert any(n for n, _ in want.values())

@@ -2,29 +2,32 @@
 
 The network reads windows of ``WINDOW`` bytes: filters over 2, 3 and 4 bytes, maximum over the positions, rectifier,
 softmax. A byte has one weight per filter and place, so a convolution is a sum of table rows, and no floating-point input
-is ever built. It is trained in numpy with Adam on windows of at most ``EACH`` documents a language and ``MOST`` in all;
-half of the training windows are cut to a random shorter length, for short texts.
+is ever built. It is trained in numpy with Adam on a bounded sample of labelled windows: of about ``EACH`` documents a
+language, ``MOST`` in all, every window of the whole text is a candidate, and ``WINDOWS`` a language, ``MOST_WINDOWS`` in
+all, are taken by the hash of their bytes (equal ones once). Half of them are cut to a shorter length, for short texts.
 
 A text is read whole, in windows that overlap by the widest filter; its probabilities are the windows' mean by length.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is everything if there is nothing to learn
-from; ties between languages go to the first by name.
+from; ties between languages go to the first by name. Repeated rows each get their prediction; among labelled ones, of two
+labels of one text both are learnt.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordstream as ws
 from .folds import sample_ids
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-EACH, MOST, WINDOWS_EACH = 300, 6000, 4
+EACH, MOST, WINDOWS, MOST_WINDOWS = 320, 6400, 1200, 24_000
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 STRIDE = WINDOW - max(WIDTHS) + 1
 UNKNOWN = "und"
@@ -105,20 +108,22 @@ def fit(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 7) -> Netwo
     return net
 
 
+def spans(size: int) -> range:
+    """Where the windows of a text of ``size`` bytes start."""
+    return range(0, max(1, size - WINDOW + STRIDE), STRIDE)
+
+
 def _windows(batches):
-    """Training windows at positions that the text's bytes decide."""
+    """Every window of every text, its order in the sample; the window's bytes decide whether it is cut."""
     for batch in batches:
         data, offsets = ws.byte_view(batch.column("text"))
-        rows, out = [], []
         for i in range(batch.num_rows):
-            text = data[offsets[i] : offsets[i + 1]]
-            rng = np.random.default_rng(len(text))
-            for j in range(WINDOWS_EACH if len(text) else 0):
-                at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-                size = int(rng.integers(8, WINDOW)) if j % 2 else WINDOW
-                rows.append(i)
-                out.append(text[at : at + size].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("label").take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], ["label", "window"])
+            text, starts = data[offsets[i] : offsets[i + 1]].tobytes(), spans(int(offsets[i + 1] - offsets[i]))
+            for lo in range(0, len(starts), 4096):
+                some = [text[at : at + WINDOW] for at in starts[lo : lo + 4096]]
+                marks = [zlib.crc32(w) for w in some]
+                cut = [w[: 8 + m // 2 % (WINDOW - 8)] if m % 2 else w for w, m in zip(some, marks, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, 1).take(pa.array(np.zeros(len(cut), np.int64))), pa.array(cut, pa.binary()), pa.array(ws.mix64(np.array(marks, np.uint64)).view(np.int64))], ["label", "window", "mark"])
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> Network | None:
@@ -126,7 +131,9 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> Ne
     ws.tune(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("id is not null and label is not null")
     picked = sample_ids(rows, "label", EACH, MOST)
-    windows = rows.join(F.broadcast(picked), ["id", "label"], "left_semi").where(F.col("text").rlike(r"\p{L}")).select("label", "text").mapInArrow(_windows, "label string, window binary").collect()
+    candidates = rows.join(F.broadcast(picked), ["id", "label"], "left_semi").where(F.col("text").rlike(r"\p{L}")).select("label", "text").mapInArrow(_windows, "label string, window binary, mark long").distinct()
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("mark", "window"))
+    windows = candidates.withColumn("rank", rank).where(F.col("rank") <= WINDOWS).orderBy("rank", "label").limit(MOST_WINDOWS).select("label", "window").collect()
     if not windows:
         return None
     windows.sort(key=lambda r: (r["label"], bytes(r["window"])))
@@ -147,7 +154,7 @@ def _predict(net: Network, schema: pa.Schema, text: str):
             total = np.zeros((batch.num_rows, len(net.labels)))
             for lo, hi in ws.slices(offsets):
                 size = np.where(legible[lo:hi], np.diff(offsets[lo : hi + 1]), 0)
-                many = np.where(size > 0, np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1), 0)
+                many = np.where(size > 0, np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1), 0)  # as in `spans`
                 owner = np.repeat(np.arange(lo, hi), many)
                 start = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
                 length = np.minimum(offsets[owner + 1] - start, WINDOW)

@@ -13,8 +13,8 @@
    words, which are cut.
 
 Before either shuffle a task folds what its own documents share (one entry for each anchor, context and task), so a
-passage that a third of all documents holds sends one entry a task, not one a document. An anchor with more than ``HOT``
-occurrences (a common phrase in many different contexts) is dealt by its extensions, not by itself: an occurrence then
+passage that a third of all documents holds sends one entry a task, not one a document. An anchor that would fill an
+eighth of a bucket (a common phrase in many different contexts) is dealt by its extensions, not by itself: an occurrence then
 sends an entry for each extension, with only the words of that one. The number of buckets and tasks follows the bytes of
 text.
 
@@ -41,8 +41,9 @@ SPAN = 13
 SEED_WORDS = 5
 #: Entries that a task folds together before it sends them on: anchors, and anchors with their contexts.
 FLUSH, CONTEXTS = 1_000_000, 200_000
-#: Occurrences (one a document) beyond which an anchor is dealt by its extensions.
-HOT = 20_000
+#: An anchor is dealt by its extensions if it has more occurrences (one a document) than this, and than one in
+#: ``HOT_SHARE`` of its bucket; so a bucket names ``HOT_SHARE`` of them at most.
+HOT, HOT_SHARE = 5000, 8
 #: Bytes of text for each hash bucket.
 BUCKET_BYTES = 12 << 20
 ADDED = ("n_words", "n_removed", "repeats")
@@ -135,7 +136,7 @@ def _seed_reduce(bits: int):
             here = np.repeat((np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)) | (total > size), size)
             anchors = low.astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))
             rows = ws.answers(bits, keys[here], anchors[here])
-            for a in np.flatnonzero(total > HOT).tolist():
+            for a in np.flatnonzero((total > HOT) & (total * HOT_SHARE > total.sum())).tolist():
                 rows.append((-1, True, ws.pack(anchors[at[a] : at[a] + 1].view(np.int64))))
             yield ws.dealt(rows)
 
@@ -352,7 +353,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     asked = keyed.where(taking_part).select(F.col("_row_key").alias("row_key"), F.col(text_col).alias("text")).mapInArrow(_seed_map(bits, seed_words, span), ws.DEALT_TYPE)
     met = saved(reduced(asked, _seed_reduce(bits)), "anchors")
-    hot = [np.frombuffer(r["blob"], np.uint64)[-1] for r in met.where("bucket < 0").select("blob").collect()]  # at most all anchors / HOT
+    hot = [np.frombuffer(r["blob"], np.uint64)[-1] for r in met.where("bucket < 0").select("blob").collect()]  # at most HOT_SHARE a bucket
     seeds = gathered(met.where("bucket >= 0"), ["_row_key"], "_seeds")
 
     # the texts move once: both joins read this exchange, so neither may prune its columns
