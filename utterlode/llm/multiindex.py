@@ -1,16 +1,23 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 The two halves of a vector are quantised separately, each by its own codebook of ``k`` centroids, so ``k * k`` cells need
-only ``2 k`` centroids. For a query the centroids of each half are sorted by distance (the negative inner product), and
-a heap walks the pairs by summed distance until the visited cells hold the wanted share of all rows. Their entries are
-reranked with the original vectors in double precision.
+only ``2 k`` centroids; ``k`` grows with the root of the number of rows. For a query the centroids of each half are
+sorted by distance (the negative inner product), and a heap walks the pairs by summed distance until the visited cells
+hold the wanted share of all rows. Their entries are reranked with the original vectors in double precision.
 
-Codebooks come from a sample of at most ``SAMPLE`` vectors; every row is indexed. What a query visits depends on cell
-counts, of which there are ``k * k``. Rows meet in blocks: entries by (first code, salt) with at most ``BLOCK`` rows,
-queries in sets of at most ``QUERIES``; a cell that holds a third of all rows is just more blocks.
+Codebooks come from a sample of at most ``SAMPLE`` vectors; every row is indexed. The share is the least that finds
+``RECALL`` of the neighbours that sample vectors have among the sample (so vectors with structure need few cells, and
+those without need many), unless the caller names one.
 
-Edge cases: rows without an id, and vectors that are null, zero, of another length than most, or hold null or non-finite
-components, are neither queries nor entries; without queries or entries there are no rows; equal scores go by id.
+Rows meet in blocks of at most ``BLOCK`` entries, by first code and salt: a block's entries come first and stay in memory
+by cell, the queries that visit the block stream past, and only the visited cells are multiplied. A cell that holds a third
+of all rows is just more blocks. Entries are copied only once for each ``QUERIES`` queries.
+
+Vectors of another length have no inner product with a query; each length is searched by itself.
+
+Edge cases: rows without an id, and vectors that are null, zero, or hold null or non-finite components, are neither
+queries nor entries; of rows with one id the one with the least vector takes part; without queries or entries there are no
+rows; equal scores go by id.
 """
 
 from __future__ import annotations
@@ -25,29 +32,39 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import saved
 from . import wordstream as ws
-from .vectors import common_length, matrix, sample, usable
+from .vectors import lengths, matrix, sample, usable
 
-K, TOP, VISIT = 32, 20, 0.65
-SAMPLE, BLOCK, QUERIES = 20_000, 8192, 4096
-#: A query visits at least so many times the entries that it returns.
-LEAST = 50
+TOP, RECALL = 20, 0.95
+SAMPLE, TRIED, BLOCK, QUERIES = 20_000, 400, 8192, 1 << 20
+#: Sample vectors to a centroid, at least.
+EACH = 20
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def codebook_size(n: int) -> int:
+    """About as many cells as rows, as far as the sample can tell centroids apart."""
+    most = min(n, SAMPLE) // EACH
+    return 1 << max(3, min(round(np.log2(max(n, 1)) / 2), most.bit_length() - 1))
+
+
 def codebook(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Lloyd's algorithm from evenly spaced points of the sample; at most as many centroids as distinct points."""
     distinct = np.unique(points, axis=0)
     centres = distinct[np.linspace(0, len(distinct) - 1, min(k, len(distinct))).astype(int)]
     for _ in range(rounds):
         code = nearest(points, centres)
-        sums, counts = np.zeros_like(centres), np.bincount(code, minlength=len(centres))
-        np.add.at(sums, code, points)
-        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+        order = np.argsort(code, kind="stable")
+        at = ws.runs(code[order])
+        centres = centres.copy()
+        centres[code[order][at]] = np.add.reduceat(points[order], at) / np.diff(np.append(at, len(code)))[:, None]
     return centres
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+    out = np.zeros(len(points), np.int64)
+    for lo in range(0, len(points), 4096):
+        out[lo : lo + 4096] = ((centres**2).sum(axis=1) - 2 * points[lo : lo + 4096] @ centres.T).argmin(axis=1)
+    return out
 
 
 def walk(near_a: np.ndarray, near_b: np.ndarray, counts: np.ndarray, wanted: float) -> list[tuple[int, int]]:
@@ -55,21 +72,37 @@ def walk(near_a: np.ndarray, near_b: np.ndarray, counts: np.ndarray, wanted: flo
     the pair before it on either side has been taken."""
     order_a, order_b = np.argsort(near_a, kind="stable"), np.argsort(near_b, kind="stable")
     a, b = near_a[order_a].tolist(), near_b[order_b].tolist()
-    heap, reach, cells, held = [(a[0] + b[0], 0, 0)], {}, [], 0
+    size = counts[np.ix_(order_a, order_b)].tolist()
+    heap, cells, held = [(a[0] + b[0], 0, 0)], [], 0
+    push, pop = heapq.heappush, heapq.heappop
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        reach[i] = j + 1
-        cell = int(order_a[i]), int(order_b[j])
-        if counts[cell]:
-            cells.append(cell)
-            held += counts[cell]
+        _, i, j = pop(heap)
+        if size[i][j]:
+            cells.append((int(order_a[i]), int(order_b[j])))
+            held += size[i][j]
         if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+            push(heap, (a[i + 1] + b[0], i + 1, 0))
         if j + 1 < len(b):
-            heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
+            push(heap, (a[i] + b[j + 1], i, j + 1))
     return cells
 
 
+def needed_share(points: np.ndarray, first: np.ndarray, second: np.ndarray, top: int, recall: float = RECALL) -> float:
+    """The share of rows that the cells of a walk must hold to find ``recall`` of the neighbours within the sample."""
+    half = first.shape[1]
+    i, j = nearest(points[:, :half], first), nearest(points[:, half:], second)
+    picked = np.linspace(0, len(points) - 1, min(TRIED, len(points))).astype(int)
+    upto = []
+    for q in picked.tolist():
+        score = points @ points[q]
+        score[q] = -np.inf
+        best = np.argpartition(score, -top)[-top:] if len(score) > top else np.flatnonzero(np.isfinite(score))
+        distance = -(first @ points[q, :half])[i] - (second @ points[q, half:])[j]
+        upto.append(np.searchsorted(np.sort(distance), distance[best], side="right") / len(points))
+    places = np.sort(np.concatenate(upto))
+    return float(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) if len(places) else 1.0
+
+
 def _assign(dimension: int, first: np.ndarray, second: np.ndarray):
     def run(batches):
         for batch in batches:
@@ -81,81 +114,121 @@ def _assign(dimension: int, first: np.ndarray, second: np.ndarray):
 
 
 def _probe(dimension: int, first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float, salts: np.ndarray):
+    """A row for each query and block that it visits, with the second codes of its cells there."""
+
     def run(batches):
         for batch in batches:
             x = matrix(batch.column("vector"), dimension)
             half = first.shape[1]
             near_a, near_b = -x[:, :half] @ first.T, -x[:, half:] @ second.T
-            rows, i, salt, cells = [], [], [], []
-            for row in range(len(x)):
-                by_first: dict[int, list[int]] = {}
-                for a, b in walk(near_a[row], near_b[row], counts, wanted):
-                    by_first.setdefault(a, []).append(b)
-                for a, b in by_first.items():
-                    for s in range(int(salts[a])):
-                        rows.append(row)
-                        i.append(a)
-                        salt.append(s)
-                        cells.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(salt, pa.int32()), batch.column("set").take(pa.array(rows, pa.int64())), batch.column("id").take(pa.array(rows, pa.int64())), batch.column("vector").take(pa.array(rows, pa.int64())), pa.array(cells, pa.list_(pa.int32()))], ["i", "salt", "set", "id", "vector", "cells"])
+            for lo in range(0, len(x), 100):
+                rows, i, salt, cells = [], [], [], []
+                for row in range(lo, min(lo + 100, len(x))):
+                    by_first: dict[int, list[int]] = {}
+                    for a, b in walk(near_a[row], near_b[row], counts, wanted):
+                        by_first.setdefault(a, []).append(b)
+                    for a, b in by_first.items():
+                        for s in range(int(salts[a])):
+                            rows.append(row)
+                            i.append(a)
+                            salt.append(s)
+                            cells.append(b)
+                own = lambda name: batch.column(name).take(pa.array(rows, pa.int64()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(salt, pa.int32()), own("set"), own("id"), own("vector"), pa.array(cells, pa.list_(pa.int32()))], ["i", "salt", "set", "id", "vector", "cells"])
 
     return run
 
 
+class _Block:
+    """The entries of a block by second code."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], cells: int) -> None:
+        ids, j, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(j, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.edges = np.searchsorted(j[order], np.arange(cells + 1))
+
+    def found(self, ids: np.ndarray, queries: np.ndarray, wanted: pa.Array, top: int):
+        rows, cells = np.repeat(np.arange(len(ids)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy()
+        order = np.argsort(cells, kind="stable")
+        rows, cells = rows[order], cells[order]
+        score = np.full((len(ids), len(self.ids)), -np.inf)
+        for a, b in ws.ranges(ws.runs(cells), len(cells)):
+            lo, hi = self.edges[cells[a]], self.edges[cells[a] + 1]
+            if lo < hi:
+                score[rows[a:b], lo:hi] = queries[rows[a:b]] @ self.vectors[lo:hi].T
+        score[ids[:, None] == self.ids] = -np.inf
+        least = np.partition(score, -top, axis=1)[:, -top] if len(self.ids) > top else np.full(len(ids), -np.inf)
+        margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+        row, column = np.nonzero((score >= (least - margin)[:, None]) & np.isfinite(score))
+        exact = (queries[row] * self.vectors[column]).sum(axis=1)
+        order = np.lexsort((self.ids[column], -exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, np.arange(len(ids)))[row] < top
+        return pa.RecordBatch.from_arrays([pa.array(ids[row[kept]]), pa.array(self.ids[column[kept]]), pa.array(exact[kept])], schema=_FOUND)
+
+
 def _rerank(dimension: int, cells: int, top: int):
-    def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        if not queries.num_rows or not entries.num_rows:
-            return _FOUND.empty_table()
-        q, e = matrix(queries.column("vector"), dimension), matrix(entries.column("vector"), dimension)
-        q_ids, e_ids = queries.column("id").to_numpy(), entries.column("id").to_numpy()
-        j, visited = entries.column("j").to_numpy(), np.zeros((len(q), cells), bool)
-        wanted = queries.column("cells").combine_chunks()
-        visited[np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy()] = True
-        out = []
-        for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
-            score = part @ e.T
-            score[~visited[lo : lo + 256][:, j] | (q_ids[lo : lo + 256, None] == e_ids)] = -np.inf
-            least = np.partition(score, -top, axis=1)[:, -top] if len(e) > top else np.full(len(part), -np.inf)
-            margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-            row, column = np.nonzero((score >= (least - margin)[:, None]) & np.isfinite(score))
-            exact = (part[row] * e[column]).sum(axis=1)
-            order = np.lexsort((e_ids[column], -exact, row))
-            row, column, exact = row[order], column[order], exact[order]
-            start = np.searchsorted(row, np.arange(len(part)))
-            kept = np.arange(len(row)) - start[row] < top
-            out.append((q_ids[lo + row[kept]], e_ids[column[kept]], exact[kept]))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_FOUND)
+    """Rows come by block, entries (without ``cells``) before queries."""
+
+    def run(batches):
+        now, parts, block = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("i", "salt", "set", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                own, part = tuple(key[a, :3].tolist()), batch.slice(a, b - a)
+                if own != now:
+                    now, parts, block = own, [], None
+                ids, vectors = part.column("id").to_numpy(), matrix(part.column("vector"), dimension)
+                if key[a, 3] == 0:
+                    parts.append((ids, part.column("j").to_numpy(), vectors))
+                    continue
+                if parts and block is None:
+                    block, parts = _Block(parts, cells), []
+                for lo in range(0, len(ids) if block else 0, 128):
+                    yield block.found(ids[lo : lo + 128], vectors[lo : lo + 128], part.column("cells").slice(lo, 128), top)
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Callable[[Column], Column], id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, k: int = K, visit: float = VISIT) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row that ``is_query`` picks by id, the ``top`` found by inner product."""
-    spark = vectors.sparkSession
-    ws.tune(spark)
-    rows = usable(vectors, id_col, vector_col)
-    dimension = common_length(rows)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not dimension:
-        return empty
-    rows = rows.where(F.size("vector") == dimension)
+def _search(rows: DataFrame, dimension: int, n: int, is_query: Callable[[Column], Column], top: int, k: int | None, visit: float | None) -> DataFrame:
+    spark = rows.sparkSession
     picked, half = sample(rows, SAMPLE), max(1, dimension // 2)
+    k = k or codebook_size(n)
     first = codebook(picked[:, :half], k)
     second = codebook(picked[:, half:], k) if half < dimension else np.zeros((1, 0))
+    if visit is None:
+        visit = needed_share(picked, first, second, top)
     entries = saved(rows.mapInArrow(_assign(dimension, first, second), "id long, vector array<float>, i int, j int"), "entries")
     counts = np.zeros((len(first), len(second)), np.int64)
     for r in entries.groupBy("i", "j").count().collect():  # at most k * k rows
         counts[r["i"], r["j"]] = r["count"]
     salts = np.maximum(1, -(-counts.sum(axis=1) // BLOCK))
     queries = entries.where(is_query(F.col("id"))).select("id", "vector")
-    sets = max(1, -(-queries.count() // QUERIES))
-    if not counts.sum():
-        return empty
-    queries = queries.withColumn("set", F.pmod(F.xxhash64("id"), F.lit(sets)).cast("int"))
-    probes = queries.mapInArrow(_probe(dimension, first, second, counts, max(visit * counts.sum(), LEAST * top), salts), "i int, salt int, set int, id long, vector array<float>, cells array<int>")
+    asked = queries.count()
+    sets = max(1, -(-asked // QUERIES))
+    queries = queries.withColumn("set", F.pmod(F.xxhash64("id"), F.lit(sets)).cast("int")).repartition(ws.tasks_for(spark, asked, 2000))
+    probes = queries.mapInArrow(_probe(dimension, first, second, counts, visit * n, salts), "i int, salt int, set int, id long, vector array<float>, cells array<int>")
     salt_of = F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("i") + 1)
     dealt = entries.withColumn("salt", F.pmod(F.xxhash64("id"), salt_of).cast("int")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-    found = probes.groupBy("i", "salt", "set").cogroup(dealt.groupBy("i", "salt", "set")).applyInArrow(_rerank(dimension, len(second), top), "query_id long, vec_id long, score double")
+    shape = lambda df, kind, j, cells: df.select("i", "salt", "set", F.lit(kind).alias("kind"), "id", j.alias("j"), "vector", cells.alias("cells"))
+    both = shape(dealt, 0, F.col("j"), F.lit(None).cast("array<int>")).unionByName(shape(probes, 1, F.lit(None).cast("int"), F.col("cells")))
+    met = both.repartition(max(ws.shuffle_width(spark), int(salts.sum()) * sets // 4), "i", "salt", "set").sortWithinPartitions("i", "salt", "set", "kind")
+    return met.mapInArrow(_rerank(dimension, len(second), top), "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, is_query: Callable[[Column], Column], id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, k: int | None = None, visit: float | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each row that ``is_query`` picks by id, the ``top`` found by inner product."""
+    spark = vectors.sparkSession
+    ws.tune(spark)
+    everything = usable(vectors, id_col, vector_col)
+    if everything.groupBy("id").count().where("count > 1").limit(1).count():
+        everything = everything.groupBy("id").agg(F.min("vector").alias("vector"))
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for dimension, n in lengths(everything):
+        found = found.unionByName(_search(everything.where(F.size("vector") == dimension), dimension, n, is_query, top, k, visit))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

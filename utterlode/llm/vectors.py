@@ -15,10 +15,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite & F.exists("vector", lambda x: x != 0))
 
 
-def common_length(rows: DataFrame) -> int:
-    """The number of components that most vectors have (the smallest on a tie); 0 without rows."""
-    top = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return top["d"] if top else 0
+def lengths(rows: DataFrame) -> list[tuple[int, int]]:
+    """The lengths that vectors have, and how many have each."""
+    return sorted((r["d"], r["count"]) for r in rows.groupBy(F.size("vector").alias("d")).count().collect())
 
 
 def sample(rows: DataFrame, most: int) -> np.ndarray:
