@@ -187,7 +187,7 @@ def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "<\\/s>", "", "plain words here", "<s>\n</s>\n", "[\\\\INST]<</SYS>>", "é" * 50, "a " * 300]
     rows = [(c, turn, "system" if turn == 0 and c % 3 == 0 else rng.choice(["user", "assistant", "tool\nx\\n", None]), rng.choice([*said, None])) for c in range(12) for turn in range(rng.randint(1, 9))]
     frame = spark.createDataFrame([*rows, (None, 1, "user", "x")], "conv_id long, turn long, role string, text string")
-    windows = chat.format_conversations(frame, 60, 20).cache()
+    windows = chat.format_conversations(frame, tokenizer_path(), 60, 20).cache()
     got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     for c in range(12):
         turns = [(r or "", x or "") for _, _, r, x in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
@@ -197,9 +197,27 @@ def test_chat(spark):
     assert got[None]["n_turns"] == 1
     for r in windows.collect():
         kept = chat.read_turns(r["text"])
-        assert len(kept) == r["n_repeated"] + 1 or sum(chat.tokens(chat.write_turn(*x)[0]) for x in kept) <= 60
+        counts = chat.token_counts([chat.write_turn(*x)[0] for x in kept], tokenizer_path())
+        assert len(kept) == r["n_repeated"] + 1 or sum(counts) <= 60
     assert windows.where("window > 0 and n_repeated > 0").count() > 0
-    assert chat.read_back(chat.format_conversations(frame.limit(0))).count() == 0
+    assert chat.read_back(chat.format_conversations(frame.limit(0), tokenizer_path())).count() == 0
+    # segments of a long conversation: other windows, the same turns and losses
+    cut = chat.format_conversations(frame.withColumn("window", F.lit("x")), tokenizer_path(), 60, 20, segment=150).cache()
+    parts = {r["conv_id"]: r for r in chat.read_back(cut).collect()}
+    told = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    assert {c: [r[k] for k in told] for c, r in parts.items()} == {c: [r[k] for k in told] for c, r in got.items()}
+    assert cut.where(F.col("window") >= 1 << 32).count() > 0
+    system = {c for c, turn, role, _ in rows if turn == 0 and role == "system"}
+    for r in cut.where("window > 0").collect():
+        assert (chat.read_turns(r["text"])[0][0] == "system") == (r["conv_id"] in system)
+
+
+def test_chat_counts_tokens(spark):
+    """Texts without spaces are as long as their tokens; repeated rows stay."""
+    rows = [(1, i, "user" if i % 2 else "assistant", "\u4f60\u597d\u4e16\u754c" * 500) for i in range(3)] + [(2, 0, "user", "x"), (2, 0, "user", "x")]
+    windows = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), tokenizer_path()).collect()
+    assert sorted(r["conv_id"] for r in windows) == [1, 1, 1, 2]
+    assert [len(chat.read_turns(r["text"])) for r in windows if r["conv_id"] == 2] == [2]
 
 
 def test_warc(spark, tmp_path):
@@ -207,6 +225,9 @@ def test_warc(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     warc.write_records(pages, str(tmp_path / "a"), chunk=700)
     archive = spark.read.parquet(str(tmp_path / "a"))
+    text = b"".join(bytes(r["data"]) for r in archive.orderBy("record_id", "copy", "chunk_no").collect()).decode()
+    named, referred = set(re.findall(r"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)", text)), set(re.findall(r"WARC-Refers-To: (\S+)", text))
+    assert referred and referred <= named and len(referred) == len(set(re.findall(r"WARC-Refers-To-Target-URI: (\S+)", text)))
     assert archive.groupBy("record_id").count().agg(F.max("count")).first()[0] > 10
     got = [r for r in warc.read_records(archive).collect()]
     assert len(got) == len(rows)
@@ -217,6 +238,11 @@ def test_warc(spark, tmp_path):
             payload = body[r["page_id"]]
             assert (r["payload_bytes"], r["payload_digest"]) == (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
             assert (r["record_type"], r["refers_to"]) == (("response", None) if last[payload] == r["page_id"] else ("revisit", last[payload]))
+    # many digests: by shuffle instead of broadcast, with the same records
+    warc.write_records(pages.withColumn("digest", F.lit(1)).withColumn("copy", F.lit("x")), str(tmp_path / "many"), chunk=700, few=0)
+    again = warc.read_records(spark.read.parquet(str(tmp_path / "many")))
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(key, again.collect())) == sorted(map(key, got))
     damaged = archive.withColumn("data", F.when(F.col("chunk_no") == 3, F.lit(b"x")).otherwise(F.col("data")))
     with pytest.raises(Exception, match="digest|ends before"):
         warc.read_records(damaged).collect()
@@ -238,23 +264,60 @@ def vectors(n=400, seed=1):
     return [(i, [float(c) for c in v], i % 3) for i, v in enumerate(x)]
 
 
-def test_multi_index(spark):
-    rows = vectors()
-    found = multiindex.search(spark.createDataFrame(rows + BAD, VECTORS), lambda i: i % 20 == 0, k=8).collect()
-    x = np.array([v for _, v, _ in rows], np.float64)
-    hits = 0
-    for q in range(0, 400, 20):
-        own = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
+def best_of(x, q, top=20):
+    score = (x * x[q]).sum(axis=1)
+    return [i for i in np.lexsort((np.arange(len(x)), -score)).tolist() if i != q][:top]
+
+
+def recall(found, x, step=20):
+    by_query = {}
+    for r in found:
+        by_query.setdefault(r["query_id"], []).append(r)
+    hits = total = 0
+    for q in range(0, len(x), step):
+        own = sorted(by_query[q], key=lambda r: r["rank"])
         assert [r["rank"] for r in own] == list(range(1, 21))
         assert own == sorted(own, key=lambda r: (-r["score"], r["vec_id"]))
         assert all(abs(r["score"] - float((x[q] * x[r["vec_id"]]).sum())) < 1e-12 for r in own)
-        score = (x * x[q]).sum(axis=1)
-        best = [i for i in np.lexsort((np.arange(400), -score)) if i != q][:20]
-        hits += len({r["vec_id"] for r in own} & set(best))
-    assert hits / 400 >= 0.9
+        best = set(best_of(x, q))
+        hits, total = hits + len({r["vec_id"] for r in own} & best), total + len(best)
+    return hits / total
+
+
+def test_multi_index(spark):
+    rows = vectors()
+    x = np.array([v for _, v, _ in rows], np.float64)
+    frame = spark.createDataFrame(rows + BAD, VECTORS).selectExpr("*", "'q' as id", "1 as i", "'z' as vector", "2 as salt")
+    assert recall(multiindex.search(frame, lambda i: i % 20 == 0).collect(), x) >= 0.9
     assert multiindex.search(spark.createDataFrame([], VECTORS), lambda i: i % 20 == 0).count() == 0
     few = multiindex.search(spark.createDataFrame(rows[:3], VECTORS), lambda i: i % 20 == 0).collect()
     assert [r["vec_id"] for r in few if r["query_id"] == 0] and len(few) == 2
+    tied = [(i, [1.0, 0.0], 0) for i in (0, 9, 3, 5)] + [(3, [1.0, 0.0], 0), (20, [2.0, 2.0, 2.0], 0)]
+    found = multiindex.search(spark.createDataFrame(tied, VECTORS), lambda i: i % 20 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == [(0, 1, 3), (0, 2, 5), (0, 3, 9)]
+
+
+def test_multi_index_is_a_search(spark, monkeypatch):
+    """Vectors with structure: a small part of the rows is visited, and blocks stay within their bound."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((300, 32))
+    x = (centres[rng.integers(300, size=6000)] + 0.3 * rng.standard_normal((6000, 32))).astype(np.float32)
+    monkeypatch.setattr(multiindex, "BLOCK", 500)
+    shares = []
+    monkeypatch.setattr(multiindex, "needed_share", lambda *a, own=multiindex.needed_share: shares.append(own(*a)) or shares[-1])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS).repartition(6)
+    assert recall(multiindex.search(frame, lambda i: i % 20 == 0).collect(), x.astype(np.float64)) >= 0.9
+    assert shares[0] <= 0.3
+
+
+def test_walk_by_summed_distance():
+    rng = np.random.default_rng(2)
+    a, b, counts = rng.standard_normal(9), rng.standard_normal(7), rng.integers(0, 4, (9, 7))
+    cells = multiindex.walk(a, b, counts, counts.sum())
+    total = [a[i] + b[j] for i, j in cells]
+    assert total == sorted(total) and sum(counts[c] for c in cells) == counts.sum()
+    some = multiindex.walk(a, b, counts, 10)
+    assert some == cells[: len(some)] and sum(counts[c] for c in some) >= 10 > sum(counts[c] for c in some[:-1])
 
 
 def test_quantisation(spark):
@@ -266,12 +329,56 @@ def test_quantisation(spark):
     np.fill_diagonal(near, False)
     assert len(got) == len(rows + BAD)
     assert [got[i]["n_links"] for i in range(400)] == near.sum(axis=1).tolist()
-    for i in range(400):
-        assert got[i]["component_id"] <= i and got[i]["kept"] == (got[i]["component_id"] == i)
+    label = np.arange(400)
+    for _ in range(400):
+        after = np.minimum(label, np.where(near, label, 400).min(axis=1))
+        if (after == label).all():
+            break
+        label = after
+    assert [got[i]["component_id"] for i in range(400)] == label.tolist()
+    assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(400))
     assert got[90]["component_id"] == 0 and got[901]["n_links"] == 0 and got[904]["component_id"] == 904 and got[None]["component_id"] is None
     assert quantisation.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_quantisation_blocks_and_odd_rows(spark, monkeypatch):
+    """Big buckets cut into blocks, repeated ids, vectors of several lengths, clashing columns."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal(12) + 0.05 * rng.standard_normal((60, 12)), rng.standard_normal((40, 12))]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(7, x[7].tolist(), 0), (200, [1.0, 2.0], 0), (201, [2.0, 4.0], 0)]
+    frame = spark.createDataFrame(rows, VECTORS).selectExpr("*", "'q' as id", "1 as n", "'z' as vector", "2 as kept")
+    monkeypatch.setattr(quantisation, "BLOCK", 8)
+    got = quantisation.near_duplicates(frame).collect()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    links = {r["vec_id"]: r["n_links"] for r in got}
+    assert len(got) == len(rows) and [r["n_links"] for r in got if r["vec_id"] == 7] == [links[7]] * 2
+    for i in range(100):
+        assert links[i] == near[i].sum() - 1 + (near[i, 7] if i != 7 else 1)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] >= 200} == {200: (1, 200), 201: (1, 200)}
+
+
+def test_quantisation_off_centre(spark):
+    """Vectors far from the origin: pairs at the threshold are found."""
+    rng = np.random.default_rng(5)
+    n, mean = 3000, rng.standard_normal(64) * 0.25
+    x = mean + rng.standard_normal((n, 64)) * 0.14
+    unit = x[:300] / np.linalg.norm(x[:300], axis=1, keepdims=True)
+    toward = (x[1000:1300] - x[2000:2300])
+    toward -= (toward * unit).sum(axis=1, keepdims=True) * unit
+    toward /= np.linalg.norm(toward, axis=1, keepdims=True)
+    x[300:600] = 0.952 * unit + np.sqrt(1 - 0.952**2) * toward
+    x = x.astype(np.float32).astype(np.float64)
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.linalg.norm((x / norms).mean(axis=0)) > 0.8
+    near = (x / norms) @ (x / norms).T >= 0.95
+    np.fill_diagonal(near, False)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in quantisation.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    found, all_ = sum(got.values()), int(near.sum())
+    assert all_ >= 600 and 0.99 * all_ <= found <= all_
+
+
 def labelled(n=400):
     rng = random.Random(9)
     speech = {"aa": ["the", "and", "thing", "over"], "bb": ["über", "nicht", "schön", "zug"]}
@@ -323,3 +430,18 @@ def test_pipeline(spark, tmp_path):
     toxic = {r[0] for r in rows if r[5]}
     assert len(kept & toxic) <= 3 and len(kept) > 140 and 900 not in kept and None in kept
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= docs.select("doc_id").distinct().count()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Repeated ids with equal and with different texts, clashing columns, empty tables."""
+    texts = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (1, "quite another text of the same id here"), (2, "a b c d e f g h"), (3, None), (4, ""), (None, "a b c d e f g h")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in texts], DOCS).selectExpr("*", "1 as size", "'x' as component_id", "2 as copies", "'y' as score")
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, texts[0][1]), (1, texts[0][1]), (1, texts[2][1]), (3, ""), (4, "")]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert "component_id" in docs.columns and docs.count() >= 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

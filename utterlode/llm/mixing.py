@@ -6,8 +6,9 @@ document is emitted once for each integer that its stretch of the sum crosses. S
 less than one, and since the order runs by size, the words taken come out close to the target.
 
 A source may hold a third of all rows, so its prefix sum is not one window: documents fall into cells of (source, size
-class, id class), the cells' counts are prefix-summed (at most ``64 * 8 * 64`` a source), and ranks inside a cell are
-added. One shuffle by cell serves both the join and the window.
+class, class of the id's hash), the cells' counts are prefix-summed (at most ``64 * 8 * SPREAD`` a source), and ranks
+inside a cell are added. One shuffle by cell serves both the join and the window. Inside a cell documents stand by size,
+id and the hash of their text, so reruns agree whatever the ids.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; an empty table gives no rows; a
 source of size 0 has target 0 and takes nothing; rows with a null id take part; input columns that clash with the added
@@ -19,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import saved
 from .wordstream import shield
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
-SPREAD = 64
+SPREAD = 256
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -55,12 +57,12 @@ def source_targets(sized: DataFrame, source_col: str = "source") -> DataFrame:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (copies times size)."""
-    docs, names = shield(docs.drop(*ADDED), ("_s", "_len", "_top", "_sub", "_len_", "_top_", "_sub_", "_rank", "_ahead", "_offset", "_upto", "_each"))
+    docs, names = shield(docs.drop(*ADDED), ("_s", "_text", "_len", "_top", "_sub", "_len_", "_top_", "_sub_", "_rank", "_ahead", "_offset", "_upto", "_each"))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
     binary = F.bin("size")
-    sized = sized.withColumns({"_len": F.length(binary), "_top": F.substring(binary, 1, 4), "_sub": F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(SPREAD))})
+    sized = sized.withColumns({"_len": F.length(binary), "_top": F.substring(binary, 1, 4), "_sub": F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % SPREAD, "_text": F.md5(text_col)})
     cell = ["_len", "_top", "_sub"]
-    cells = sized.groupBy(F.col(source_col).alias("_s"), *cell).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    cells = saved(sized.groupBy(F.col(source_col).alias("_s"), *cell).agg(F.count("*").alias("n"), F.sum("size").alias("size")), "cells")
     targets = source_targets(cells, "_s")
     before = Window.partitionBy("_s").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     ahead = cells.withColumn("_ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).select("_s", *cell, "_ahead")
@@ -71,7 +73,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col(source_col).eqNullSafe(F.col("_s"))
     for c in cell:
         same &= F.col(c) == F.col(f"{c}_")
-    rank = F.row_number().over(Window.partitionBy(source_col, *cell).orderBy("size", id_col))
+    rank = F.row_number().over(Window.partitionBy(source_col, *cell).orderBy("size", id_col, "_text"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = sized.withColumn("_rank", rank).join(plan, same)
     out = out.withColumn("_upto", F.col("_rank") + F.col("_ahead")).withColumn("_each", expected)
@@ -87,10 +89,10 @@ def mixed_rows(docs: DataFrame, **names: str) -> DataFrame:
 
 
 ORACLE = r"""
-with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with sized as (select doc_id, source, md5(text) as m, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 bits as (select *, bin(size) as b from sized),
-cells as (select *, length(b) as l, substr(b, 1, 4) as t, ((coalesce(doc_id, 0) % 64) + 64) % 64 as u from bits),
-ranked as (select *, row_number() over (partition by source order by l, t, u, size, doc_id) as upto from cells),
+cells as (select *, length(b) as l, substr(b, 1, 4) as t, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 256 as u from bits),
+ranked as (select *, row_number() over (partition by source order by l, t, u, size, doc_id nulls first, m nulls first) as upto from cells),
 totals as (select source, sum(size)::double as source_size from sized group by source),
 weighed as (select *, 1 + (row_number() over (order by source nulls last) - 1) % 3 as weight from totals),
 capped as (select *, 3 * source_size as cap, 3 * source_size / weight as ratio from weighed),

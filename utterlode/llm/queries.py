@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import saved, shared_folder
+from ..plans.durable import new_path, saved
 from . import chat, jaccard, language, mixing, multiindex, packing, quantisation, substring, toxicity, warc
 from .folds import held_out
 
@@ -62,13 +62,11 @@ CONTROL_CONVERSATION = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.union(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"))
-    return chat.read_back(saved(chat.format_conversations(turns), "windows"))
+    return chat.read_back(saved(chat.format_conversations(turns, tokenizer_path()), "windows"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    archive = f"{shared_folder(spark)}/utterlode/archive-{uuid.uuid4().hex}"
+    archive = new_path(spark, "archive")
     warc.write_records(_table(spark, sf_dir, "pages"), archive)
     return warc.read_records(spark.read.parquet(archive)).drop("url")
 
