@@ -302,3 +302,11 @@ def test_dense_pairs_in_blocks(spark):
     got = {(r["a"], r["b"]) for r in clusters.dense_pairs(frame, 0.6, block=20).collect()}
     near = x @ x.T >= 0.6
     assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if near[i, j]}
+    # vectors in clusters: few cells are visited, nothing is lost
+    y = np.random.default_rng(2).standard_normal((6, 8))[np.arange(240) % 6] + 0.1 * np.random.default_rng(3).standard_normal((240, 8))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "ord long, vector array<double>").repartition(3)
+    found = [(r["a"], r["b"]) for r in clusters.dense_pairs(frame, 0.9, block=25).collect()]
+    close = y @ y.T >= 0.9
+    assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(240) for j in range(i + 1, 240) if close[i, j]}
+    assert clusters.dense_pairs(frame.limit(0), 0.9).count() == 0

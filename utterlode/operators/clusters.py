@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions import fixed as x
 from ..functions import text as t
 from ..plans.durable import discard, saved
 
+MOST_PIVOTS = 1024
+
 
 def tfidf_weights(texts: DataFrame) -> DataFrame:
     """``ord, term, weight, df`` of ``ord, key``: character 2- to 4-grams, sublinear tf, smoothed idf, L2 norm."""
@@ -37,25 +41,97 @@ def cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
     return dots.where(F.col("similarity") >= threshold)
 
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows @ pivots.T, -1, 1))
+
+
+def _near_blocks(threshold: float):
+    """Pairs of a block's own rows, which come first and stay, and the rows that visit it, which stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("cell", "sub", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if tuple(key[lo, :2]) != now:
+                    now, held, block = tuple(key[lo, :2]), [], None
+                part = batch.slice(lo, hi - lo)
+                own = part.column("ord").to_numpy(), part.column("home").to_numpy(), _matrix(part.column("vector"))
+                if key[lo, 2] == 0:
+                    held.append(own)
+                    continue
+                if block is None and not held:  # a cell's rows may leave a block empty
+                    continue
+                if block is None:
+                    block = [np.concatenate(x) for x in zip(*held, strict=True)]
+                scores = own[2] @ block[2].T
+                r, c = np.nonzero(scores >= threshold)
+                a, b = own[0][r], block[0][c]
+                # a pair of one cell is met from both sides, one of two cells in the lower one only
+                kept = (own[1][r] != block[1][c]) | (a < b)
+                r, c, a, b = r[kept], c[kept], a[kept], b[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(scores[r, c])], schema=_PAIRS)
+
+    return run
+
+
 def dense_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """``a, b, similarity`` for unit vectors ``ord, vector``: no term is rare in a dense vector, so blocks of rows meet
-    and a matrix product finds what is near. A task holds two blocks, whatever the number of vectors."""
-    blocks = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("ord", "vector", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias("own"))
-    left = dealt.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"), "ord", "vector")
-    again = [F.col(c).alias(f"{c}_b") for c in ("ord", "vector")]  # new names: both sides come from one table
-    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i_b"), F.col("own").alias("j_b"), *again)
-
-    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        scores = np.stack(x["vector"].to_list()) @ np.stack(y["vector_b"].to_list()).T
-        r, c = np.nonzero(scores >= threshold)
-        a, b = x["ord"].to_numpy()[r], y["ord_b"].to_numpy()[c]
-        kept = (a < b) if x["i"].iloc[0] == x["j"].iloc[0] else (a != b)
-        return pd.DataFrame({"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept], "similarity": scores[r, c][kept]})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i_b", "j_b")).applyInPandas(near, "a long, b long, similarity double")
+    """``a, b, similarity`` for unit vectors ``ord, vector``: no term is rare in a dense vector, so blocks of rows meet and a
+    matrix product finds what is near (C4, C6).
+
+    Rows belong to the cell of their nearest pivot, one of about as many sample rows as there are blocks. Angles are a metric:
+    a row is near one of a cell only if its angle to the pivot is at most the cell's radius and the threshold's angle, so
+    other cells are not visited. A cell beyond ``block`` rows is several blocks; a task holds one of them, whatever the
+    number of vectors.
+    """
+    spark = vectors.sparkSession
+    n = vectors.count()
+    picked = vectors.select("ord", "vector").orderBy(F.xxhash64("ord"), "ord").limit(max(1, min(MOST_PIVOTS, -(-n // block)))).collect()
+    pivots = np.array([r["vector"] for r in picked], np.float64)
+    if not len(pivots):
+        return spark.createDataFrame([], "a long, b long, similarity double")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angles = _angles(_matrix(batch.column("vector")), pivots)
+            home = angles.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("vector"), pa.array(home, pa.int32()), pa.array(angles[np.arange(len(home)), home])], ["ord", "vector", "home", "angle"])
+
+    placed = saved(vectors.select(F.col("ord").cast("long").alias("ord"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, "ord long, vector array<double>, home int, angle double"), "placed")
+    cells = {r["home"]: r for r in placed.groupBy("home").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # at most one a pivot
+    subs = np.array([-(-cells[i]["n"] // block) if i in cells else 0 for i in range(len(pivots))])
+    reach = np.array([cells[i]["radius"] if i in cells else -np.inf for i in range(len(pivots))]) + np.arccos(threshold) + 1e-6
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home = batch.column("home").to_numpy()
+            angles = _angles(_matrix(batch.column("vector")), pivots)
+            row, cell = np.nonzero((angles <= reach) & (np.arange(len(pivots)) <= home[:, None]))
+            row, cell = np.repeat(row, subs[cell]), np.repeat(cell, subs[cell])
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
+            sub = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+            for at in range(0, len(row), 4096):
+                some = slice(at, at + 4096)
+                own = batch.take(pa.array(row[some]))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[some], pa.int32()), pa.array(sub[some], pa.int32()), pa.array(np.ones(len(row[some])), pa.int32()), own.column("ord"), own.column("home"), own.column("vector")], ["cell", "sub", "kind", "ord", "home", "vector"])
+
+    split = F.element_at(F.array(*[F.lit(int(max(1, x))) for x in subs]), F.col("home") + 1)
+    own = placed.select(F.col("home").alias("cell"), F.pmod(F.xxhash64("ord"), split).cast("int").alias("sub"), F.lit(0).alias("kind"), "ord", "home", "vector")
+    visitors = placed.select("ord", "home", "vector").mapInArrow(visit, "cell int, sub int, kind int, ord long, home int, vector array<double>")
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(subs.sum()) // 4)
+    met = own.unionByName(visitors).repartition(width, "cell", "sub").sortWithinPartitions("cell", "sub", "kind")
+    return met.mapInArrow(_near_blocks(threshold), "a long, b long, similarity double")
 
 
 def leader_clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
