@@ -70,8 +70,8 @@ def tasks_for(spark: SparkSession, amount: int, each: int) -> int:
 
 
 def bits_for(amount: int, each: int) -> int:
-    """Hash buckets, as a power of two and 16 at least, so that each gets about ``each`` of ``amount``."""
-    return max(4, (-(-amount // each) - 1).bit_length())
+    """Hash buckets, as a power of two and 4 at least, so that each gets about ``each`` of ``amount``."""
+    return max(2, (-(-amount // each) - 1).bit_length())
 
 
 def shield(df: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
