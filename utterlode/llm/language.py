@@ -144,13 +144,13 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> Ne
     return fit(x, np.array([labels.index(r["label"]) for r in windows]), labels)
 
 
-def _predict(net: Network, schema: pa.Schema, text: str):
+def _predict(net: Network, schema: pa.Schema, text: str, letters: str):
     spread = np.arange(WINDOW)
 
     def run(batches):
         for batch in batches:
             data, offsets = ws.byte_view(batch.column(text))
-            legible = batch.column("_legible").to_numpy(zero_copy_only=False)
+            legible = batch.column(letters).to_numpy(zero_copy_only=False)
             total = np.zeros((batch.num_rows, len(net.labels)))
             for lo, hi in ws.slices(offsets):
                 size = np.where(legible[lo:hi], np.diff(offsets[lo : hi + 1]), 0)
@@ -183,5 +183,6 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", keep:
     if net is None:
         return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    legible = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_legible")
-    return docs.select(*kept, F.col(text_col).alias("_text"), legible).mapInArrow(_predict(net, to_arrow_schema(schema), "_text"), schema)
+    own, letters = ws.free("_text", kept), ws.free("_legible", kept)
+    legible = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters)
+    return docs.select(*kept, F.col(text_col).alias(own), legible).mapInArrow(_predict(net, to_arrow_schema(schema), own, letters), schema)

@@ -74,15 +74,20 @@ def bits_for(amount: int, each: int) -> int:
     return max(2, (-(-amount // each) - 1).bit_length())
 
 
+def free(name: str, taken) -> str:
+    """``name``, or a name made of it that is not ``taken``."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def shield(df: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns that bear an operator's internal names renamed, and the names to give back."""
     back, taken = {}, {*df.columns, *reserved}
     for name in [c for c in df.columns if c in reserved]:
-        free = f"_{name}"
-        while free in taken:
-            free = f"_{free}"
-        taken.add(free)
-        back[free], df = name, df.withColumnRenamed(name, free)
+        other = free(f"_{name}", taken)
+        taken.add(other)
+        back[other], df = name, df.withColumnRenamed(name, other)
     return df, back
 
 
