@@ -135,6 +135,33 @@ def test_learners_on_odd_rows(spark):
     assert told.where("doc_id = 101").first()["lang_pred"] == "und"
 
 
+def test_toxicity_learns_from_all(spark, monkeypatch):
+    """No text is too long or too many to be learnt from: the counts are those of all texts, with either join."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}x{chr(97 + rng.randrange(26))}" for _ in range(25_000)) + (" vile" if i % 2 else " kind"), i % 2) for i in range(12)]
+    rows += [(20, rows[0][1], 0), (21, "", 1), (22, None, 1)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string, toxic int"), {}
+    for _, text, toxic in rows:
+        words = re.findall("[a-z]+", text or "")
+        cell = want.setdefault(2 * (zlib.crc32((text or "").encode()) % 2) + toxic, {})
+        for before, word in zip(["", *words], words, strict=False):
+            cell.setdefault(word, set()).add(before)
+    words = {w for c in want.values() for w in c}
+    expected = sorted(tuple(len(want.get(c, {}).get(w, ())) for c in range(4)) for w in words)
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(toxicity, "BROADCAST", most)
+        monkeypatch.setattr(toxicity, "WHOLE", most)
+        scorer = toxicity.train(docs, docs.select("doc_id", "toxic"))
+        assert sorted(tuple(r[c] for c in toxicity.CELLS) for r in scorer.models.counts.collect()) == expected
+    table = scorer.models.counts.toArrow().sort_by("word")
+    ratios = scorer.models.ratios(np.stack([table.column(c).to_numpy() for c in toxicity.CELLS], axis=1).astype(float)).mean(axis=1).astype(np.float32)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, scorer).collect()}
+    for i, text, _ in rows:
+        own, first = toxicity._words(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len(text or "")]))
+        x = toxicity._features(ratios[np.searchsorted(table.column("word").to_numpy(), own.view(np.int64))].astype(float), first)
+        assert got[i] == pytest.approx(toxicity._curve(scorer.curve, x)[0], abs=1e-9)
+
+
 def test_curve_of_separable_features():
     """Perfectly told classes end in a finite curve that tells them."""
     rng = np.random.default_rng(1)
