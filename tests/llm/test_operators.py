@@ -7,6 +7,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +322,30 @@ def test_walk_by_summed_distance():
     assert some == cells[: len(some)] and sum(counts[c] for c in some) >= 10 > sum(counts[c] for c in some[:-1])
 
 
+def test_multi_index_blocks():
+    """A query asks a block once, whatever the number of its first codes there, and finds its visited cells' entries alone."""
+    rng = np.random.default_rng(7)
+    counts = rng.integers(0, 40, (32, 32))
+    counts[5] = 90
+    block, salts = multiindex.blocks_of(counts.sum(axis=1), 2000)
+    held = np.bincount(block, counts.sum(axis=1))
+    assert len(held) < 16 and (np.diff(block) >= 0).all() and salts[5] == 2 and (block == block[5]).sum() == 1
+    assert all(n <= 2000 or n == counts[5].sum() for n in held.tolist())
+    x, first, second = rng.standard_normal((40, 8)), rng.standard_normal((32, 4)), rng.standard_normal((32, 4))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "set": pa.array([0] * 40, pa.int32()), "vector": [v.tolist() for v in x]})
+    made = pa.Table.from_batches(list(multiindex._probe(8, first, second, counts, counts.sum(), block, salts)(iter([batch]))))
+    assert made.num_rows == 40 * (len(held) + 1)
+    assert sum(map(len, made.filter(pa.compute.equal(made["salt"], 0))["cells"].to_pylist())) == 40 * np.count_nonzero(counts)
+    cell, entries = np.sort(rng.integers(0, 50, 600)), rng.standard_normal((600, 8))
+    for share in (3, 45):
+        wanted = [rng.choice(50, share, replace=False).tolist() + [60] for _ in range(40)]
+        made = multiindex._Block([(np.arange(600), cell, entries)]).found(np.arange(40), x, pa.array(wanted, pa.list_(pa.int32())), 5)
+        found = list(zip(made[0].to_pylist(), made[1].to_pylist(), strict=True))
+        for q in range(40):
+            score = np.where(np.isin(cell, wanted[q]) & (np.arange(600) != q), entries @ x[q], -np.inf)
+            assert [v for p, v in found if p == q] == np.argsort(-score)[:5].tolist()
+
+
 def test_quantisation(spark):
     rows = vectors()
     got = {r["vec_id"]: r for r in quantisation.near_duplicates(spark.createDataFrame(rows + BAD, VECTORS)).collect()}

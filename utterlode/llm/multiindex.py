@@ -2,16 +2,17 @@
 
 The two halves of a vector are quantised separately, each by its own codebook of ``k`` centroids, so ``k * k`` cells need
 only ``2 k`` centroids; ``k`` grows with the root of the number of rows. For a query the centroids of each half are
-sorted by distance (the negative inner product), and a heap walks the pairs by summed distance until the visited cells
+taken by distance (the negative inner product), and the cells that hold rows are visited by summed distance until they
 hold the wanted share of all rows. Their entries are reranked with the original vectors in double precision.
 
 Codebooks come from a sample of at most ``SAMPLE`` vectors; every row is indexed. The share is the least that finds
 ``RECALL`` of the neighbours that sample vectors have among the sample (so vectors with structure need few cells, and
 those without need many), unless the caller names one.
 
-Rows meet in blocks of at most ``BLOCK`` entries, by first code and salt: a block's entries come first and stay in memory
-by cell, the queries that visit the block stream past, and only the visited cells are multiplied. A cell that holds a third
-of all rows is just more blocks. Entries are copied only once for each ``QUERIES`` queries.
+Rows meet in blocks of about ``BLOCK`` entries: neighbouring first codes share a block, and a first code with more rows has
+several by salt. A block's entries come first and stay in memory by cell, the queries that visit the block stream past, and
+only entries of visited cells are found; where queries visit much of a block, it is multiplied whole and the cells that a
+query did not visit are taken out. A cell that holds a third of all rows is just more blocks. Entries are copied only once for each ``QUERIES`` queries.
 
 Vectors of another length have no inner product with a query; each length is searched by itself.
 
@@ -22,7 +23,6 @@ rows; equal scores go by id.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -67,24 +67,27 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def cells_by_distance(near_a: np.ndarray, near_b: np.ndarray, counts: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and second codes of the cells that hold rows, by summed distance until they hold ``wanted`` rows."""
+    i, j = np.nonzero(counts)
+    order = np.argsort(near_a[i] + near_b[j], kind="stable")
+    held = np.cumsum(counts[i[order], j[order]])
+    order = order[: int(np.searchsorted(held, wanted)) + 1 if wanted > 0 else 0]
+    return i[order], j[order]
+
+
 def walk(near_a: np.ndarray, near_b: np.ndarray, counts: np.ndarray, wanted: float) -> list[tuple[int, int]]:
-    """Cells by summed distance until they hold ``wanted`` rows: a heap over pairs of ranks, each pair pushed once, when
-    the pair before it on either side has been taken."""
-    order_a, order_b = np.argsort(near_a, kind="stable"), np.argsort(near_b, kind="stable")
-    a, b = near_a[order_a].tolist(), near_b[order_b].tolist()
-    size = counts[np.ix_(order_a, order_b)].tolist()
-    heap, cells, held = [(a[0] + b[0], 0, 0)], [], 0
-    push, pop = heapq.heappush, heapq.heappop
-    while heap and held < wanted:
-        _, i, j = pop(heap)
-        if size[i][j]:
-            cells.append((int(order_a[i]), int(order_b[j])))
-            held += size[i][j]
-        if j == 0 and i + 1 < len(a):
-            push(heap, (a[i + 1] + b[0], i + 1, 0))
-        if j + 1 < len(b):
-            push(heap, (a[i] + b[j + 1], i, j + 1))
-    return cells
+    return list(zip(*(x.tolist() for x in cells_by_distance(near_a, near_b, counts, wanted)), strict=True))
+
+
+def blocks_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each first code, its block and how many salts it has there; codes share a block up to ``most`` entries."""
+    block, salts, now, held = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most)), 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            now, held = now + 1, 0
+        block[i], held = now, held + size
+    return block, salts
 
 
 def needed_share(points: np.ndarray, first: np.ndarray, second: np.ndarray, top: int, recall: float = RECALL) -> float:
@@ -113,28 +116,32 @@ def _assign(dimension: int, first: np.ndarray, second: np.ndarray):
     return run
 
 
-def _probe(dimension: int, first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float, salts: np.ndarray):
-    """A row for each query and block that it visits, with the second codes of its cells there."""
+def _probe(dimension: int, first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float, block: np.ndarray, salts: np.ndarray):
+    """A row for each query and block (and salt) that it visits, with its cells there."""
+    salts_of = np.ones(int(block.max()) + 1, np.int64)
+    np.maximum.at(salts_of, block, salts)
 
     def run(batches):
         for batch in batches:
             x = matrix(batch.column("vector"), dimension)
             half = first.shape[1]
             near_a, near_b = -x[:, :half] @ first.T, -x[:, half:] @ second.T
-            for lo in range(0, len(x), 100):
-                rows, i, salt, cells = [], [], [], []
-                for row in range(lo, min(lo + 100, len(x))):
-                    by_first: dict[int, list[int]] = {}
-                    for a, b in walk(near_a[row], near_b[row], counts, wanted):
-                        by_first.setdefault(a, []).append(b)
-                    for a, b in by_first.items():
-                        for s in range(int(salts[a])):
+            for lo in range(0, len(x), 20):
+                rows, where, salt, cells = [], [], [], []
+                for row in range(lo, min(lo + 20, len(x))):
+                    i, j = cells_by_distance(near_a[row], near_b[row], counts, wanted)
+                    order = np.argsort(i, kind="stable")
+                    code, at = (i * len(second) + j)[order].astype(np.int32), block[i[order]]
+                    for a, b in ws.ranges(ws.runs(at), len(at)):
+                        for s in range(int(salts_of[at[a]])):
                             rows.append(row)
-                            i.append(a)
+                            where.append(int(at[a]))
                             salt.append(s)
-                            cells.append(b)
+                            cells.append(code[a:b])
                 own = lambda name: batch.column(name).take(pa.array(rows, pa.int64()))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(salt, pa.int32()), own("set"), own("id"), own("vector"), pa.array(cells, pa.list_(pa.int32()))], ["i", "salt", "set", "id", "vector", "cells"])
+                ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
+                visited = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *cells])))
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(salt, pa.int32()), own("set"), own("id"), own("vector"), visited], ["block", "salt", "set", "id", "vector", "cells"])
 
     return run
 
@@ -142,20 +149,29 @@ def _probe(dimension: int, first: np.ndarray, second: np.ndarray, counts: np.nda
 class _Block:
     """The entries of a block by second code."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], cells: int) -> None:
-        ids, j, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(j, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.edges = np.searchsorted(j[order], np.arange(cells + 1))
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        ids, cell, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(cell, kind="stable")
+        self.ids, self.vectors, cell = ids[order], vectors[order], cell[order]
+        at = ws.runs(cell)
+        self.cells, self.edges = cell[at], np.append(at, len(cell))
+        self.sizes = np.diff(self.edges)
 
     def found(self, ids: np.ndarray, queries: np.ndarray, wanted: pa.Array, top: int):
         rows, cells = np.repeat(np.arange(len(ids)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy()
-        order = np.argsort(cells, kind="stable")
-        rows, cells = rows[order], cells[order]
-        score = np.full((len(ids), len(self.ids)), -np.inf)
-        for a, b in ws.ranges(ws.runs(cells), len(cells)):
-            lo, hi = self.edges[cells[a]], self.edges[cells[a] + 1]
-            if lo < hi:
+        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+        here = self.cells[at] == cells  # a salt has not all cells
+        rows, at = rows[here], at[here]
+        if 4 * self.sizes[at].sum() > len(ids) * len(self.ids):
+            visited = np.zeros((len(ids), len(self.cells)), bool)
+            visited[rows, at] = True
+            score = np.where(np.repeat(visited, self.sizes, axis=1), queries @ self.vectors.T, -np.inf)
+        else:
+            score = np.full((len(ids), len(self.ids)), -np.inf)
+            order = np.argsort(at, kind="stable")
+            rows, at = rows[order], at[order]
+            for a, b in ws.ranges(ws.runs(at), len(at)):
+                lo, hi = self.edges[at[a]], self.edges[at[a] + 1]
                 score[rows[a:b], lo:hi] = queries[rows[a:b]] @ self.vectors[lo:hi].T
         score[ids[:, None] == self.ids] = -np.inf
         least = np.partition(score, -top, axis=1)[:, -top] if len(self.ids) > top else np.full(len(ids), -np.inf)
@@ -168,13 +184,13 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array(ids[row[kept]]), pa.array(self.ids[column[kept]]), pa.array(exact[kept])], schema=_FOUND)
 
 
-def _rerank(dimension: int, cells: int, top: int):
+def _rerank(dimension: int, top: int):
     """Rows come by block, entries (without ``cells``) before queries."""
 
     def run(batches):
         now, parts, block = None, [], None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("i", "salt", "set", "kind")], axis=1)
+            key = np.stack([batch.column(c).to_numpy() for c in ("block", "salt", "set", "kind")], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
@@ -184,10 +200,10 @@ def _rerank(dimension: int, cells: int, top: int):
                     now, parts, block = own, [], None
                 ids, vectors = part.column("id").to_numpy(), matrix(part.column("vector"), dimension)
                 if key[a, 3] == 0:
-                    parts.append((ids, part.column("j").to_numpy(), vectors))
+                    parts.append((ids, part.column("cell").to_numpy(), vectors))
                     continue
                 if parts and block is None:
-                    block, parts = _Block(parts, cells), []
+                    block, parts = _Block(parts), []
                 for lo in range(0, len(ids) if block else 0, 128):
                     yield block.found(ids[lo : lo + 128], vectors[lo : lo + 128], part.column("cells").slice(lo, 128), top)
 
@@ -206,18 +222,18 @@ def _search(rows: DataFrame, dimension: int, n: int, is_query: Callable[[Column]
     counts = np.zeros((len(first), len(second)), np.int64)
     for r in entries.groupBy("i", "j").count().collect():  # at most k * k rows
         counts[r["i"], r["j"]] = r["count"]
-    salts = np.maximum(1, -(-counts.sum(axis=1) // BLOCK))
+    block, salts = blocks_of(counts.sum(axis=1), min(BLOCK, max(2048, n // ws.shuffle_width(spark))))
     queries = entries.where(is_query(F.col("id"))).select("id", "vector")
     asked = queries.count()
     sets = max(1, -(-asked // QUERIES))
     queries = queries.withColumn("set", F.pmod(F.xxhash64("id"), F.lit(sets)).cast("int")).repartition(ws.tasks_for(spark, asked, 2000))
-    probes = queries.mapInArrow(_probe(dimension, first, second, counts, visit * n, salts), "i int, salt int, set int, id long, vector array<float>, cells array<int>")
-    salt_of = F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("i") + 1)
-    dealt = entries.withColumn("salt", F.pmod(F.xxhash64("id"), salt_of).cast("int")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-    shape = lambda df, kind, j, cells: df.select("i", "salt", "set", F.lit(kind).alias("kind"), "id", j.alias("j"), "vector", cells.alias("cells"))
-    both = shape(dealt, 0, F.col("j"), F.lit(None).cast("array<int>")).unionByName(shape(probes, 1, F.lit(None).cast("int"), F.col("cells")))
-    met = both.repartition(max(ws.shuffle_width(spark), int(salts.sum()) * sets // 4), "i", "salt", "set").sortWithinPartitions("i", "salt", "set", "kind")
-    return met.mapInArrow(_rerank(dimension, len(second), top), "query_id long, vec_id long, score double")
+    probes = queries.mapInArrow(_probe(dimension, first, second, counts, visit * n, block, salts), "block int, salt int, set int, id long, vector array<float>, cells array<int>")
+    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("i") + 1)
+    dealt = entries.withColumn("block", of(block)).withColumn("salt", F.pmod(F.xxhash64("id"), of(salts)).cast("int")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    shape = lambda df, kind, cell, cells: df.select("block", "salt", "set", F.lit(kind).alias("kind"), "id", cell.alias("cell"), "vector", cells.alias("cells"))
+    both = shape(dealt, 0, (F.col("i") * len(second) + F.col("j")).cast("int"), F.lit(None).cast("array<int>")).unionByName(shape(probes, 1, F.lit(None).cast("int"), F.col("cells")))
+    met = both.repartition(max(ws.shuffle_width(spark), (int(block.max()) + int(salts.sum()) - len(salts)) * sets // 4), "block", "salt", "set").sortWithinPartitions("block", "salt", "set", "kind")
+    return met.mapInArrow(_rerank(dimension, top), "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, is_query: Callable[[Column], Column], id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, k: int | None = None, visit: float | None = None) -> DataFrame:
