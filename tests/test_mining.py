@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,25 @@ def test_jaccard_pairs_against_brute_force(spark):
     assert got == {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.6}
 
 
+def test_jaccard_pairs_of_numbered_names(spark):
+    """Names that differ by a number share every bigram with many others; few of them may meet, in more than one task."""
+    names = [f"customer#{i:09}" for i in range(0, 1500)] + ["x" * (i % 3) + "".join(chr(97 + (j * j + j * i) % 26) for j in range(60 + i % 9)) for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(names)), "ord long, key string")
+    grams = [{k[i : i + 2] for i in range(len(k) - 1)} for k in names]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    for threshold in (0.85, 0.7):
+        pairs = neardup.jaccard_pairs(frame, threshold)
+        got = sorted((r["a"], r["b"], r["similarity"]) for r in pairs.collect())
+        assert got == [(i, j, alike(grams[i], grams[j])) for i in range(len(names)) for j in range(i + 1, len(names)) if alike(grams[i], grams[j]) >= threshold]
+    assert pairs.rdd.getNumPartitions() > 1
+    plan, met = neardup._meetings([len(g) for g in grams], 0.85), Counter()
+    df = Counter(g for s in grams[:1500] for g in s)
+    for s in grams[:1500]:
+        ranked = sorted(s, key=lambda g: (df[g], g))
+        met.update((least, *(ranked[i] for i in places)) for n, least, _, places in plan if n == len(s))
+    assert sum(n * (n - 1) // 2 for n in met.values()) < 0.25 * 1500 * 1499 / 2
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)]
