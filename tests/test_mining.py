@@ -330,3 +330,28 @@ def test_dense_pairs_in_blocks(spark):
     close = y @ y.T >= 0.9
     assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(240) for j in range(i + 1, 240) if close[i, j]}
     assert clusters.dense_pairs(frame.limit(0), 0.9).count() == 0
+
+
+def test_visitors_pass_a_block_in_steps():
+    """What a task holds beside its block doesn't grow with a batch of visitors."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(n, kind, seed):
+        x = np.random.default_rng(seed).standard_normal((n, 8))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        whole = lambda v, t: pa.array(np.full(n, v), t)
+        vectors = pa.ListArray.from_arrays(np.arange(0, 8 * n + 1, 8, dtype=np.int32), x.ravel())
+        return pa.RecordBatch.from_arrays([whole(0, pa.int32()), whole(kind, pa.int32()), pa.array(np.arange(n) + 10000 * kind), whole(0, pa.int32()), vectors], ["block", "kind", "ord", "home", "vector"]), x
+
+    (held, x), (visitors, y) = rows(2048, 0, 1), rows(10000, 1, 2)
+    run = clusters._near_blocks(0.99, np.eye(8)[:1], np.array([np.pi]), np.zeros(1, int))
+    tracemalloc.start()
+    found = [(a, b) for part in run(iter([held, visitors])) for a, b in zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [] and peak < 48e6  # a visitor counts where it comes before; 10000 by 2048 scores are 164 MB
+    found = [(a, b) for part in clusters._near_blocks(0.9, np.eye(8)[:1], np.array([np.pi]), np.zeros(1, int))(iter([held, held.set_column(1, "kind", pa.array(np.ones(2048), pa.int32()))])) for a, b in zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True)]
+    assert sorted(found) == [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.9)), strict=True) if i < j]
