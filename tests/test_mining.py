@@ -355,3 +355,15 @@ def test_visitors_pass_a_block_in_steps():
     assert found == [] and peak < 48e6  # a visitor counts where it comes before; 10000 by 2048 scores are 164 MB
     found = [(a, b) for part in clusters._near_blocks(0.9, np.eye(8)[:1], np.array([np.pi]), np.zeros(1, int))(iter([held, held.set_column(1, "kind", pa.array(np.ones(2048), pa.int32()))])) for a, b in zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True)]
     assert sorted(found) == [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.9)), strict=True) if i < j]
+
+
+def test_unit_vectors_take_the_norm_once(spark):
+    """A norm for each component is the square of a vector's size: 10 to the power 10 steps here."""
+    import time
+
+    rows = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda i: (i + F.col("id") % 7).cast("float")).alias("v"))
+    began = time.time()
+    off = rows.select(t.normalize_vector(F.col("v")).alias("u")).select(F.abs(F.aggregate("u", F.lit(0.0), lambda a, b: a + b * b) - 1).alias("off")).agg(F.max("off")).first()[0]
+    assert off < 1e-9 and time.time() - began < 30
+    zero = spark.sql("select array(0f, 0f) as v union all select array(3f, 4f) union all select cast(null as array<float>)")
+    assert [r[0] for r in zero.select(t.normalize_vector(F.col("v"))).collect()] == [[0.0, 0.0], [0.6, 0.8], None]
