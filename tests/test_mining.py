@@ -367,3 +367,21 @@ def test_unit_vectors_take_the_norm_once(spark):
     assert off < 1e-9 and time.time() - began < 30
     zero = spark.sql("select array(0f, 0f) as v union all select array(3f, 4f) union all select cast(null as array<float>)")
     assert [r[0] for r in zero.select(t.normalize_vector(F.col("v"))).collect()] == [[0.0, 0.0], [0.6, 0.8], None]
+
+
+def test_vectors_travel_to_few_blocks(spark, monkeypatch):
+    """Blocks are as many for a large table as for a small one, and nothing near is lost between them."""
+    import numpy as np
+
+    monkeypatch.setattr(clusters, "BLOCKS", 4)
+    x = np.random.default_rng(5).standard_normal((400, 6))
+    x[:150] = x[0] + 0.01 * x[:150]  # a cell of several blocks
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, vector array<double>")
+    pairs = clusters.dense_pairs(frame, 0.6, block=5)
+    assert pairs.rdd.getNumPartitions() <= 2 * 4 + 1
+    found, near = [(r["a"], r["b"]) for r in pairs.collect()], x @ x.T >= 0.6
+    assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(400) for j in range(i + 1, 400) if near[i, j]}
+    for n in (1_000, 100_000):
+        _, subs = clusters._grouped(x[:100], np.full(100, n), 100 * n // 32)
+        assert subs.sum() <= 65
