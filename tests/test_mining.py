@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from utterlode import cli
 from utterlode.functions import text as t
-from utterlode.operators import clusters, components, embedding, grade, neardup, synthesis
+from utterlode.operators import clusters, components, embedding, extract, grade, neardup, synthesis
 from utterlode.operators.components import connected_components
 from utterlode.plans.durable import saved
 from utterlode.plans.numbering import numbered
@@ -385,3 +385,14 @@ def test_vectors_travel_to_few_blocks(spark, monkeypatch):
     for n in (1_000, 100_000):
         _, subs = clusters._grouped(x[:100], np.full(100, n), 100 * n // 32)
         assert subs.sum() <= 65
+
+
+def test_lines_are_parsed_once(spark):
+    """A filter on what a line says doesn't parse it again, nor one on the disposition fold its text again."""
+    raw = [json.dumps(x) for x in SESSION] + [" ", "[1]", '{"type": "message", "id": 0, "message": {"role": "user", "content": "ÄB"}}']
+    lines = spark.createDataFrame([("d/f", i, x) for i, x in enumerate(raw)], "source_file string, line_no long, raw string").repartition(2)
+    kept = extract.with_disposition(extract.session_entries(extract.parse_lines(lines))).where("disposition = 'kept'")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2 and plan.count("ArrowEvalPython") == 1  # as it stands, and with bare tokens mended
+    said = [(r["entry_id"], r["session_id"], r["cwd"], r["text"], r["norm_key"]) for r in kept.orderBy("line_no").collect()]
+    assert said == [("e1", "s1", "/Users/me/demo", "a\nbc", "a bc"), ("", "s1", "/Users/me/demo", "ÄB", "äb")]
