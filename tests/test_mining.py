@@ -396,3 +396,12 @@ def test_lines_are_parsed_once(spark):
     assert plan.count("parseJson") == 2 and plan.count("ArrowEvalPython") == 1  # as it stands, and with bare tokens mended
     said = [(r["entry_id"], r["session_id"], r["cwd"], r["text"], r["norm_key"]) for r in kept.orderBy("line_no").collect()]
     assert said == [("e1", "s1", "/Users/me/demo", "a\nbc", "a bc"), ("", "s1", "/Users/me/demo", "ÄB", "äb")]
+
+
+def test_keys_are_folded_once(spark):
+    """Rows that carry their normalized key aren't folded again; a masked text is worked out once."""
+    rows = spark.createDataFrame([(1, "Read docs/A.md")], "seq long, text string")
+    folded = neardup.keyed(saved(rows.withColumn("norm_key", F.lit("as given docs/a.md"))))
+    assert [(r["norm_key"], r["match_key"]) for r in folded.collect()] == [("as given docs/a.md", "as given §p")]
+    plan = rows.select(t.match_key(F.col("text")).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
